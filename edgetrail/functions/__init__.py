@@ -19,10 +19,13 @@ from .urls import (
     display_name,
     form_decode,
     hls_path_of,
+    kind_of_path,
+    path_content_id,
     path_filename,
     path_title,
     percent_decode,
     referrer,
+    referrer_host,
     request_content_id,
     request_kind,
     resource_type,

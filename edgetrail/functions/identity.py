@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import percent_decode
-from .values import filled, is_known, known
+from .urls import names_any, percent_decode
+from .values import is_known, known
 
 # Renditions a segment path may name, and the longest graph id.
 RENDITIONS = ["1080p", "720p", "480p", "360p", "240p"]
@@ -35,8 +35,7 @@ def _short_sha(col: Column, length: int) -> Column:
 def safe_id(text: Column, fallback: str | Column = "unknown") -> Column:
     fallback = F.lit(fallback) if isinstance(fallback, str) else fallback
     value = F.coalesce(known(F.trim(text)), fallback)
-    safe = F.left(F.regexp_replace(value, r"[^\p{L}\p{N}._\-]", "_"), F.lit(GRAPH_ID_LENGTH))
-    return F.coalesce(filled(safe), fallback)
+    return F.left(F.regexp_replace(value, r"[^\p{L}\p{N}._\-]", "_"), F.lit(GRAPH_ID_LENGTH))
 
 
 def token_id(token: Column) -> Column:
@@ -68,13 +67,9 @@ def content_type(content: Column, path: Column) -> Column:
 
 
 def device_class(user_agent: Column) -> Column:
-    ua = F.lower(F.coalesce(user_agent, F.lit("")))
-    out = F.when(~is_known(ua), "unknown")
+    out = F.when(~is_known(user_agent), "unknown")
     for name, marks in DEVICE_MARKS:
-        hit = F.lit(False)
-        for mark in marks:
-            hit = hit | ua.contains(mark)
-        out = out.when(hit, name)
+        out = out.when(names_any(user_agent, marks), name)
     return out.otherwise("other")
 
 

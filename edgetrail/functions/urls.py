@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,35 +71,35 @@ def path_title(path: Column) -> Column:
     return F.when(is_known(path), F.coalesce(F.get(parts, 1), F.lit("unknown"))).otherwise("unknown")
 
 
-def _contains_any(col: Column, marks: list[str]) -> Column:
-    found = F.lit(False)
-    for mark in marks:
-        found = found | col.contains(mark)
-    return found
+def names_any(col: Column, marks: list[str]) -> Column:
+    """Whether the text contains one of the marks in any case, in one search."""
+    return col.rlike("(?i)" + "|".join(re.escape(mark) for mark in marks))
 
 
 def resource_type(url: Column) -> Column:
     """``struct<type, category>`` by ordered substring rules."""
-    low = F.lower(url)
-
     def kind(type_: str, category: str) -> Column:
         return F.struct(F.lit(type_).alias("type"), F.lit(category).alias("category"))
 
     return (
         F.when(~is_known(url), kind("other", "other"))
-        .when(_contains_any(low, VIDEO_MARKS), kind("video", "video"))
-        .when(low.contains(".html") | url.endswith("/") | low.contains("index"), kind("html", "web_resource"))
-        .when(low.contains(".css"), kind("css", "web_resource"))
-        .when(low.contains(".js") & ~low.contains(".json"), kind("js", "web_resource"))
-        .when(low.contains("/api/") | low.contains(".json"), kind("api", "api"))
-        .when(_contains_any(low, IMAGE_MARKS), kind("image", "static"))
+        .when(names_any(url, VIDEO_MARKS), kind("video", "video"))
+        .when(url.endswith("/") | names_any(url, [".html", "index"]), kind("html", "web_resource"))
+        .when(names_any(url, [".css"]), kind("css", "web_resource"))
+        .when(names_any(url, [".js"]) & ~names_any(url, [".json"]), kind("js", "web_resource"))
+        .when(names_any(url, ["/api/", ".json"]), kind("api", "api"))
+        .when(names_any(url, IMAGE_MARKS), kind("image", "static"))
         .otherwise(kind("other", "other"))
     )
 
 
 def request_kind(path: Column, method: Column) -> Column:
     """hls_manifest, hls_segment, playback_start, browse_content or NULL."""
-    clean = strip_query(path)
+    return kind_of_path(strip_query(path), method)
+
+
+def kind_of_path(clean: Column, method: Column) -> Column:
+    """``request_kind`` of a path without its query."""
     verb = F.trim(F.upper(F.coalesce(method, F.lit(""))))
     return (
         F.when(
@@ -117,31 +119,38 @@ def watch_content_id(referer: Column) -> Column:
     return F.when(is_known(referer) & (first == "watch"), second).otherwise("")
 
 
-def request_content_id(
-    kind: Column, path: Column, query_content_id: Column, referer: Column, token_content_id: Column
-) -> Column:
-    """Target content: query parameter, then path or referer by kind, then the token's content."""
+def path_content_id(kind: Column, path: Column, referer: Column) -> Column:
+    """Content that the path, or for a playback start the referer, names."""
     browse = F.btrim(F.substr(path, F.lit(len(BROWSE_PREFIX) + 1)), F.lit("/"))
     hls = F.regexp_extract(path, "^/hls/+([^/]+)", 1)
-    by_kind = (
+    return (
         F.when(kind == "browse_content", F.trim(percent_decode(F.substring_index(browse, "/", 1))))
         .when(kind == "playback_start", watch_content_id(referer))
         .when(kind.isin("hls_manifest", "hls_segment"), F.trim(percent_decode(hls)))
     )
+
+
+def request_content_id(query_content_id: Column, named: Column, token_content_id: Column) -> Column:
+    """Target content: query parameter, then ``path_content_id``, then the token's content."""
     token_content = F.when(token_content_id != "-", token_content_id)
-    chain = [F.trim(query_content_id), by_kind, token_content]
-    return F.coalesce(*[filled(c) for c in chain], F.lit(""))
+    return F.coalesce(filled(F.trim(query_content_id)), filled(named), filled(token_content), F.lit(""))
+
+
+def referrer_host(referer: Column) -> Column:
+    """Lower-case authority of a Referer header."""
+    return F.lower(url_domain(F.trim(referer)))
+
 
+def referrer(referer: Column, domain: Column | None = None) -> Column:
+    """``struct<domain, category, is_legitimate>`` of a Referer header.
 
-def referrer(referer: Column) -> Column:
-    """``struct<domain, category, is_legitimate>`` of a Referer header."""
+    ``domain`` is its ``referrer_host`` where that is already a column.
+    """
     raw = F.trim(F.coalesce(referer, F.lit("")))
-    low = F.lower(raw)
-    domain = F.lower(url_domain(raw))
-    host = F.substring_index(domain, ":", 1)
-    own = host.isin(OWN_HOSTS) | host.contains(OWN_HOST_MARK)
-    for prefix in OWN_HOST_PREFIXES:
-        own = own | host.startswith(prefix)
+    domain = referrer_host(referer) if domain is None else domain
+    names = "|".join(re.escape(h) for h in OWN_HOSTS)
+    prefixes = "|".join(re.escape(p) for p in OWN_HOST_PREFIXES)
+    own = domain.rlike(f"^(?:(?:{names})(?::|$)|{prefixes}|[^:]*{OWN_HOST_MARK})")
 
     def answer(name: Column, category: Column, legitimate: Column) -> Column:
         return F.struct(name.alias("domain"), category.alias("category"), legitimate.alias("is_legitimate"))
@@ -150,7 +159,7 @@ def referrer(referer: Column) -> Column:
     return (
         F.when(~is_known(raw), answer(F.lit("empty"), F.lit("empty"), no))
         .when(
-            low.startswith("chrome-extension://") | low.startswith("moz-extension://"),
+            raw.rlike("(?i)^(chrome|moz)-extension://"),
             answer(F.lit("browser_extension"), F.lit("extension"), no),
         )
         .when(domain.isNull(), answer(F.lit("malformed"), F.lit("malformed"), no))

@@ -52,14 +52,14 @@ def edges(rows: DataFrame, type_: str, src_type: str | None = None) -> DataFrame
     """Distinct (src, dst) pairs of one type; ``src_type`` picks one source label."""
     if type_ == "BELONGS_TO":
         return belongs_to(rows)
-    out = None
-    for name, src_label, src, _, dst in RELATIONSHIPS:
-        if name == type_ and src_type in (None, src_label):
-            pairs = rows.select(F.expr(src).alias("src"), F.expr(dst).alias("dst"))
-            out = pairs if out is None else out.unionByName(pairs)
-    if out is None:
+    ends = [
+        F.struct(F.expr(src).alias("src"), F.expr(dst).alias("dst"))
+        for name, src_label, src, _, dst in RELATIONSHIPS
+        if name == type_ and src_type in (None, src_label)
+    ]
+    if not ends:
         raise ValueError(f"no relationship {type_!r} from {src_type!r}")
-    return out.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    return rows.select(F.inline(F.array(*ends))).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
 def belongs_to(rows: DataFrame) -> DataFrame:
@@ -101,8 +101,8 @@ def _edge_struct(src_type: str, src: str, type_: str, dst_type: str, dst: str) -
 
 def _exploded(rows: DataFrame, structs: list[Column]) -> DataFrame:
     # Not F.filter: Spark would infer a filter from it that repeats all the expressions below.
-    first = EDGE_COLUMNS[1] if len(structs) == len(RELATIONSHIPS) else "a"
-    return rows.select(F.inline(F.array(*structs))).where(F.col(first).isNotNull()).distinct()
+    items = rows.select(F.inline(F.array(*structs)))
+    return items.where(F.col(items.columns[1]).isNotNull()).distinct()
 
 
 def edges_unified(rows: DataFrame) -> DataFrame:

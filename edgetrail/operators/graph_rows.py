@@ -28,16 +28,18 @@ def _edge_region() -> Column:
 DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "status": (("n_status",), lambda: c("n_status")),
     "request_kind": (
-        ("n_content_path", "n_method"),
-        lambda: urls.request_kind(c("n_content_path"), c("n_method")),
+        ("request_path", "n_method"),
+        lambda: urls.kind_of_path(c("request_path"), c("n_method")),
     ),
     "request_path": (("n_content_path",), lambda: urls.strip_query(c("n_content_path"))),
     "method": (("n_method",), lambda: c("n_method")),
+    "named_content_id": (
+        ("request_kind", "request_path", "n_referer"),
+        lambda: urls.path_content_id(c("request_kind"), c("request_path"), c("n_referer")),
+    ),
     "content_id": (
-        ("request_kind", "request_path", "n_query_content_id", "n_referer", "n_token_content_id"),
-        lambda: urls.request_content_id(
-            c("request_kind"), c("request_path"), c("n_query_content_id"), c("n_referer"), c("n_token_content_id")
-        ),
+        ("named_content_id", "n_query_content_id", "n_token_content_id"),
+        lambda: urls.request_content_id(c("n_query_content_id"), c("named_content_id"), c("n_token_content_id")),
     ),
     "run_id": (("n_run_id",), lambda: _or_dash("n_run_id")),
     "scenario_id": (("n_scenario_id",), lambda: _or_dash("n_scenario_id")),
@@ -65,7 +67,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "token": (("n_session_token",), lambda: c("n_session_token")),
     "cdn_token_id": (
         ("n_cdn_token_id", "n_session_token"),
-        lambda: truthy(c("n_cdn_token_id"), identity.token_id(c("n_session_token")), F.lit("")),
+        lambda: F.when(c("n_cdn_token_id") != "", c("n_cdn_token_id")).otherwise(identity.token_id(c("n_session_token"))),
     ),
     "app_session_id": (("n_playback_session_id",), lambda: c("n_playback_session_id")),
     "account_id": (("n_account_id",), lambda: c("n_account_id")),
@@ -89,7 +91,8 @@ DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "device_type": (("n_user_agent",), lambda: identity.device_class(c("n_user_agent"))),
     "user_agent": (("n_user_agent",), lambda: c("n_user_agent")),
     "referer": (("n_referer",), lambda: c("n_referer")),
-    "referrer": (("n_referer",), lambda: urls.referrer(c("n_referer"))),
+    "referrer_host": (("n_referer",), lambda: urls.referrer_host(c("n_referer"))),
+    "referrer": (("n_referer", "referrer_host"), lambda: urls.referrer(c("n_referer"), c("referrer_host"))),
     "referrer_domain": (("referrer",), lambda: c("referrer.domain")),
     "referrer_category": (("referrer",), lambda: c("referrer.category")),
     "referrer_legitimate": (("referrer",), lambda: c("referrer.is_legitimate")),
@@ -104,7 +107,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     ),
 }
 
-ALL_COLUMNS = [name for name in DERIVED if name != "referrer"]
+ALL_COLUMNS = [name for name in DERIVED if name not in ("referrer", "referrer_host", "named_content_id")]
 
 
 @cache
@@ -138,7 +141,7 @@ def graph_rows(logs: DataFrame, columns: Iterable[str] | None = None, raw: str =
     derived = sorted((n for n in needed if n in DERIVED), key=lambda n: (_level(n), n))
     for level in range(1, max(_level(n) for n in derived) + 1):
         rows = rows.withColumns({n: DERIVED[n][1]() for n in derived if _level(n) == level})
-        if level == 1:
+        if level == _level("request_kind"):
             rows = graph_eligible(rows)
     return rows.select(*rest, "fold_ts", *wanted)
 

@@ -36,7 +36,8 @@ class Record:
     def param(self, key: str) -> Column:
         """Decoded query parameter, the last one if repeated, NULL if absent."""
         self.uses_query = True
-        return F.get("_param_values", F.array_position("_param_names", F.lit(key)) - 1)
+        value = F.get("_param_values", F.array_position("_param_names", F.lit(key)) - 1)
+        return self.share(f"param_{key}", value, level=0)
 
     def params(self) -> Column:
         self.uses_query = True
@@ -223,7 +224,7 @@ def _read(logs: DataFrame, columns: Iterable[str], raw: str) -> tuple[DataFrame,
             lambda p: urls.form_decode(F.regexp_replace(p, "^[^=]*=?", "")),
         )
         step = step.withColumns({"_param_names": name, "_param_values": value})
-    for level in (1, 2):
+    for level in (0, 1, 2):
         step = step.withColumns(
             {f"_shared_{n}": e for n, (at, e) in record.shared.items() if at == level}
         )

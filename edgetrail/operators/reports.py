@@ -30,8 +30,8 @@ def time_range(df: DataFrame, column: str, as_of: datetime, hours: float) -> Dat
 # --- token fan-out -------------------------------------------------------------------------
 
 
-def _token_members(rows: DataFrame) -> DataFrame:
-    """Distinct (token, kind, value) reached through the token's sessions.
+def _session_legs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (session, token) pairs and distinct (session, kind, value) of the other legs.
 
     The sessions' accounts, contents, addresses and referrers are reduced to distinct pairs
     before the join, so no product of the four legs is formed.
@@ -51,8 +51,12 @@ def _token_members(rows: DataFrame) -> DataFrame:
         "viewing_session_id", F.inline(F.array(*items))
     ).where("value IS NOT NULL").distinct()
     tokens, members = apart(pairs, "kind = 'token'", "kind <> 'token'")
-    tokens = tokens.select("viewing_session_id", F.col("value").alias("token"))
-    return tokens.join(members, "viewing_session_id").select("token", "kind", "value").distinct()
+    return tokens.select("viewing_session_id", F.col("value").alias("token")), members
+
+
+def _members_of(tokens: DataFrame, legs: DataFrame) -> DataFrame:
+    """Distinct (token, kind, value) reached through the token's sessions."""
+    return tokens.join(legs, "viewing_session_id").select("token", "kind", "value").distinct()
 
 
 def _fanout_counts(members: DataFrame) -> DataFrame:
@@ -62,10 +66,13 @@ def _fanout_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("token").agg(*[count(k) for k in ("account", "content", "ip", "referrer")])
 
 
+def _flagged(members: DataFrame, min_ip: int, min_referrer: int) -> DataFrame:
+    return _fanout_counts(members).where((F.col("ip_count") > min_ip) | (F.col("referrer_count") > min_referrer))
+
+
 def token_fanout(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1) -> DataFrame:
     """Tokens used from more than ``min_ip`` addresses or ``min_referrer`` referrers."""
-    counts = _fanout_counts(_token_members(rows))
-    return counts.where((F.col("ip_count") > min_ip) | (F.col("referrer_count") > min_referrer))
+    return _flagged(_members_of(*_session_legs(rows)), min_ip, min_referrer)
 
 
 def token_fanout_members(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1) -> DataFrame:
@@ -74,20 +81,17 @@ def token_fanout_members(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1
     One row per member instead of one list per token: a token shared by very many clients
     never has to fit into one row.
     """
-    members = _token_members(rows)
-    flagged = _fanout_counts(members).where((F.col("ip_count") > min_ip) | (F.col("referrer_count") > min_referrer))
+    members = _members_of(*_session_legs(rows))
+    flagged = _flagged(members, min_ip, min_referrer)
     return members.join(flagged.select("token"), "token", "left_semi")
 
 
 def suspicious_sessions(rows: DataFrame, limit: int = 50) -> DataFrame:
     """Sessions that used a flagged token, with their addresses; the first ``limit`` pairs."""
-    flagged = token_fanout(rows).select(F.col("token").alias("cdn_token_id"))
-    sessions = (
-        rows.where("cdn_token_id <> ''").select("cdn_token_id", "viewing_session_id").distinct()
-        .join(flagged, "cdn_token_id", "left_semi")
-        .select("viewing_session_id").distinct()
-    )
-    pairs = rows.where("client_ip <> '-' AND client_ip <> ''").select("viewing_session_id", "client_ip").distinct()
+    tokens, legs = _session_legs(rows)
+    flagged = _flagged(_members_of(tokens, legs), 2, 1).select("token")
+    sessions = tokens.join(flagged, "token", "left_semi").select("viewing_session_id").distinct()
+    pairs = legs.where("kind = 'ip'").select("viewing_session_id", F.col("value").alias("client_ip"))
     found = pairs.join(sessions, "viewing_session_id", "left_semi")
     return found.orderBy("viewing_session_id", "client_ip").limit(limit)
 

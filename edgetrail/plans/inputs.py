@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 GIVEN = ["events", "customer", "orders", "lineitem", "part", "pages"]
 
 ACCESS_LOG = """
@@ -253,7 +255,7 @@ SQL: dict[str, str] = {
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tune
 from .inputs import plain_times
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,7 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
 
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plain_times(fn(spark, sf_dir))
+            return plain_times(fn(tune(spark), sf_dir))
 
         QUERIES[name] = run
         if check is not None:
