@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.values import filled
 from .joins import join_on_summary
 
 PROFILE = ["id", "email", "username", "full_name", "profile_image", "subscription_plan", "created_at", "last_login"]
@@ -96,7 +97,7 @@ def watch_history(actions: DataFrame) -> DataFrame:
     write stay.  Progress without a total duration is NULL.
     """
     seq = F.struct("ts", "seq1", "seq2")
-    label = F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("normal")) if "label" in actions.columns else F.lit("normal")
+    label = F.coalesce(filled(F.trim("label")), F.lit("normal")) if "label" in actions.columns else F.lit("normal")
     address = F.col("ip_address") if "ip_address" in actions.columns else F.lit(None).cast("string")
     first = F.min(F.struct(seq.alias("seq"), "session_token", F.col("ts").alias("created_at"))).alias("f")
     last = F.max(

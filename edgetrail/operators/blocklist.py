@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import ipv4_number
-from .joins import broadcast_if_small
+from ..session import materialize
+from .joins import BROADCAST_ROWS
 
 # Kinds of block-list entries.
 TYPES = ["ips", "tokens", "referers"]
@@ -36,8 +37,12 @@ def blocked_flag(requests: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Adds ``blocked``: the address, a token field or the exact referer is on the list."""
     keys = {"ips": ["remote_addr"], "tokens": ["http_x_session_token", "log_session_token"], "referers": ["referer"]}
     out, flags = requests, []
+    # Written once: four joins and the size check read the list.
+    state = materialize(blacklist.select("type", "value").distinct(), "blacklist")
+    small = state.count() <= BROADCAST_ROWS
     for type_, columns in keys.items():
-        entries = broadcast_if_small(blacklist.where(F.col("type") == type_).select("value").distinct())
+        entries = state.where(F.col("type") == type_).select("value")
+        entries = F.broadcast(entries) if small else entries
         for column in columns:
             flag = f"_hit_{column}"
             side = entries.select(F.col("value").alias(column), F.lit(True).alias(flag))

@@ -62,11 +62,11 @@ def edges(rows: DataFrame, type_: str, src_type: str | None = None) -> DataFrame
     return rows.select(F.inline(F.array(*ends))).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
-def belongs_to(rows: DataFrame) -> DataFrame:
-    """Segment to content, only if the content node exists when the segment is seen.
+def belongs_partial(rows: DataFrame) -> DataFrame:
+    """What ``belongs_result`` needs of these rows, in a form that merges.
 
-    A segment row whose own target is the content in its path creates that node itself.  Only
-    rows whose target differs from the path need the node's first time from other rows.
+    One record per segment and content (first and last order, and whether some row's own
+    target is the content in its path) and one per content, with an empty segment.
     """
     seq = F.struct(*ORDER).alias("seq")
     own = F.expr("segment.content_id = content_id").alias("own")
@@ -78,12 +78,26 @@ def belongs_to(rows: DataFrame) -> DataFrame:
         F.expr("content_id <> ''"),
         F.struct(F.lit("").alias("src"), F.col("content_id").alias("dst"), seq, F.lit(False).alias("own")),
     )
-    seen = (
+    return (
         rows.select(F.inline(F.array(segment, content)))
         .where("dst IS NOT NULL")
         .groupBy("src", "dst")
         .agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("own").alias("own"))
     )
+
+
+def belongs_merge(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("src", "dst").agg(
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.max("own").alias("own")
+    )
+
+
+def belongs_result(seen: DataFrame) -> DataFrame:
+    """Segment to content, only if the content node exists when the segment is seen.
+
+    A segment row whose own target is the content in its path creates that node itself.  Only
+    segments without such a row need the node's first time from other rows.
+    """
     direct, other, contents = apart(seen, "src <> '' AND own", "src <> '' AND NOT own", "src = ''")
     late = (
         other.select("src", "dst", "last_seq")
@@ -93,6 +107,10 @@ def belongs_to(rows: DataFrame) -> DataFrame:
     return direct.select("src", "dst").unionByName(late.select("src", "dst"))
 
 
+def belongs_to(rows: DataFrame) -> DataFrame:
+    return belongs_result(belongs_partial(rows))
+
+
 def _edge_struct(src_type: str, src: str, type_: str, dst_type: str, dst: str) -> Column:
     both = F.expr(f"({src}) IS NOT NULL AND ({dst}) IS NOT NULL")
     values = [F.lit(src_type), F.expr(src), F.lit(type_), F.lit(dst_type), F.expr(dst)]
@@ -105,17 +123,24 @@ def _exploded(rows: DataFrame, structs: list[Column]) -> DataFrame:
     return items.where(F.col(items.columns[1]).isNotNull()).distinct()
 
 
-def edges_unified(rows: DataFrame) -> DataFrame:
-    """Every relationship as (src_type, src, type, dst_type, dst), from one pass over the rows."""
-    structs = [_edge_struct(s, sk, t, d, dk) for t, s, sk, d, dk in RELATIONSHIPS]
-    segment = belongs_to(rows).select(
+def pair_edges(rows: DataFrame) -> DataFrame:
+    """Every relationship that one row alone decides, from one pass over the rows."""
+    return _exploded(rows, [_edge_struct(s, sk, t, d, dk) for t, s, sk, d, dk in RELATIONSHIPS])
+
+
+def belongs_edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
         F.lit("Segment").alias("src_type"),
         "src",
         F.lit("BELONGS_TO").alias("type"),
         F.lit("Content").alias("dst_type"),
         "dst",
     )
-    return _exploded(rows, structs).unionByName(segment)
+
+
+def edges_unified(rows: DataFrame) -> DataFrame:
+    """Every relationship as (src_type, src, type, dst_type, dst)."""
+    return pair_edges(rows).unionByName(belongs_edges(belongs_to(rows)))
 
 
 def graph_statistics(rows: DataFrame) -> DataFrame:

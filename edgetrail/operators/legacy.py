@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import filled, known
 from .reports import time_range
 
 # Page size of the slice and the country given to every address.
@@ -28,10 +29,10 @@ def _page_rows(page: DataFrame) -> DataFrame:
     domain = F.substring_index(F.substring_index("referer", "//", -1), "/", 1)
     after = F.get(F.split("content_path", "/hls/"), 1)
     return page.select(
-        F.coalesce(F.nullif("remote_addr", F.lit("-")), F.lit("unknown")).alias("address"),
-        F.nullif("http_x_session_token", F.lit("")).alias("token"),
+        F.coalesce(known(F.col("remote_addr")), F.lit("unknown")).alias("address"),
+        filled(F.col("http_x_session_token")).alias("token"),
         F.when(F.col("referer") != "", domain).alias("domain"),
-        F.nullif(F.substring_index(after, ".", 1), F.lit("")).alias("content"),
+        filled(F.substring_index(after, ".", 1)).alias("content"),
         F.col("fold_ts").alias("at"),
         order.alias("nth"),
     )

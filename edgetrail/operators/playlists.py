@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.playlists import master_variants, playlist_fields
+from ..functions.values import filled
 
 MASTER = "master.m3u8"
 
@@ -61,7 +62,7 @@ def reference_errors(playlists: DataFrame, files: DataFrame) -> DataFrame:
     )
     used = media.select("content_id", "path", F.inline(ends)).where("uri IS NOT NULL")
     used = used.withColumn("target", _below(_folder(F.col("path")), F.col("uri")))
-    shown = F.concat_ws("/", "content_id", F.nullif(_folder(F.col("path")), F.lit("")), "uri")
+    shown = F.concat_ws("/", "content_id", filled(_folder(F.col("path"))), "uri")
     no_segment = used.join(existing, ["content_id", "target"], "left_anti").select(
         "content_id", F.concat(F.lit("missing referenced "), "key", F.lit(": "), shown).alias("error")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import normalize_ip
 from ..functions.text import sanitize_tag
 from ..functions.urls import hls_path_of
+from ..functions.values import filled
 
 # Payload keys and, for the optional tags, name, length and case in the signed text.
 PAYLOAD_KEYS = [
@@ -91,7 +92,7 @@ def audit_tokens(requests: DataFrame, secret: str, as_of_epoch: int) -> DataFram
     ok = F.col("reason").isNull()
 
     def tag(key: str, *others: str) -> Column:
-        chain = [F.nullif(F.col(f"_p.{k}"), F.lit("")) for k in (key, *others)]
+        chain = [filled(F.col(f"_p.{k}")) for k in (key, *others)]
         return F.when(ok, F.coalesce(*chain, F.lit("-")))
 
     exp, iat = F.col("_exp").cast("bigint"), F.col("_iat").cast("bigint")
