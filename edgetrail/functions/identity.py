@@ -66,10 +66,11 @@ def content_type(content: Column, path: Column) -> Column:
     return F.when(live, "live").otherwise("vod")
 
 
-def device_class(user_agent: Column) -> Column:
+def device_class(user_agent: Column, low: Column | None = None) -> Column:
+    low = F.lower(user_agent) if low is None else low
     out = F.when(~is_known(user_agent), "unknown")
     for name, marks in DEVICE_MARKS:
-        out = out.when(names_any(user_agent, marks), name)
+        out = out.when(names_any(low, marks), name)
     return out.otherwise("other")
 
 

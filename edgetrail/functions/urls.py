@@ -51,9 +51,19 @@ def _with_scheme(url: Column) -> Column:
 
 
 def url_domain(url: Column) -> Column:
-    """Authority with port, NULL if there is none."""
-    domain = filled(F.regexp_extract(_with_scheme(url), _AUTHORITY, 1))
-    return F.when(is_known(url), domain)
+    """Authority with port, NULL if there is none.
+
+    The usual forms are cut with plain substrings; only odd schemes need the pattern.
+    """
+    rest = (
+        F.when(url.startswith("https://"), F.substr(url, F.lit(9)))
+        .when(url.startswith("http://"), F.substr(url, F.lit(8)))
+        .when(~url.startswith("http"), url)
+        .otherwise(F.regexp_extract(url, _AUTHORITY, 1))
+    )
+    for mark in "/?#":
+        rest = F.substring_index(rest, mark, 1)
+    return F.when(is_known(url), filled(rest))
 
 
 def strip_query(path: Column) -> Column:
@@ -71,24 +81,32 @@ def path_title(path: Column) -> Column:
     return F.when(is_known(path), F.coalesce(F.get(parts, 1), F.lit("unknown"))).otherwise("unknown")
 
 
-def names_any(col: Column, marks: list[str]) -> Column:
-    """Whether the text contains one of the marks in any case, in one search."""
-    return col.rlike("(?i)" + "|".join(re.escape(mark) for mark in marks))
+def names_any(low: Column, marks: list[str]) -> Column:
+    """Whether lower-case text contains one of the marks."""
+    found = low.contains(marks[0])
+    for mark in marks[1:]:
+        found = found | low.contains(mark)
+    return found
 
 
-def resource_type(url: Column) -> Column:
-    """``struct<type, category>`` by ordered substring rules."""
+def resource_type(url: Column, low: Column | None = None) -> Column:
+    """``struct<type, category>`` by ordered substring rules.
+
+    ``low`` is the lower-case text where that is already a column.
+    """
+    low = F.lower(url) if low is None else low
+
     def kind(type_: str, category: str) -> Column:
         return F.struct(F.lit(type_).alias("type"), F.lit(category).alias("category"))
 
     return (
         F.when(~is_known(url), kind("other", "other"))
-        .when(names_any(url, VIDEO_MARKS), kind("video", "video"))
-        .when(url.endswith("/") | names_any(url, [".html", "index"]), kind("html", "web_resource"))
-        .when(names_any(url, [".css"]), kind("css", "web_resource"))
-        .when(names_any(url, [".js"]) & ~names_any(url, [".json"]), kind("js", "web_resource"))
-        .when(names_any(url, ["/api/", ".json"]), kind("api", "api"))
-        .when(names_any(url, IMAGE_MARKS), kind("image", "static"))
+        .when(names_any(low, VIDEO_MARKS), kind("video", "video"))
+        .when(url.endswith("/") | names_any(low, [".html", "index"]), kind("html", "web_resource"))
+        .when(names_any(low, [".css"]), kind("css", "web_resource"))
+        .when(names_any(low, [".js"]) & ~names_any(low, [".json"]), kind("js", "web_resource"))
+        .when(names_any(low, ["/api/", ".json"]), kind("api", "api"))
+        .when(names_any(low, IMAGE_MARKS), kind("image", "static"))
         .otherwise(kind("other", "other"))
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import ipv4_number
 from ..session import materialize
-from .joins import BROADCAST_ROWS
+from .joins import BROADCAST_ROWS, join_on_summary
 
 # Kinds of block-list entries.
 TYPES = ["ips", "tokens", "referers"]
@@ -75,11 +75,11 @@ def blocked_by_range(requests: DataFrame, ranges: DataFrame, address: str = "cli
     )
     choices = F.array(*[F.lit(b) for b in bits]).cast("array<int>")
     addresses = (
-        requests.select(address).distinct()
+        requests.groupBy(address).agg(F.count("*").alias("_n"))
         .withColumn("_ip", ipv4_number(F.col(address)))
         .where("_ip IS NOT NULL")
-        .select(address, "_ip", F.explode(choices).alias("bits"))
+        .select(address, "_n", "_ip", F.explode(choices).alias("bits"))
         .withColumn("net", network(F.col("_ip"), F.col("bits")))
     )
-    hits = addresses.join(blocked, ["bits", "net"], "left_semi").select(address).distinct()
-    return requests.join(hits, address, "left_semi")
+    hits = addresses.join(blocked, ["bits", "net"], "left_semi").groupBy(address).agg(F.max("_n").alias("_n"))
+    return join_on_summary(requests, hits, [address], "_n").select(*requests.columns)

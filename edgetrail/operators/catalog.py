@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_list
 from ..functions.values import filled
+from .joins import broadcast_if_small
 
 # Defaults of catalog fields and the names of the two home-page sections.
 DEFAULT_RATING = "전체"
@@ -138,4 +139,5 @@ def delete_contents(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without the deleted contents; ids that are not in the catalog do nothing."""
     known = contents.select("content_id").join(deleted.select("content_id").distinct(), "content_id", "left_semi")
+    known = broadcast_if_small(known)
     return tuple(t.join(known, "content_id", "left_anti") for t in (contents, favorites, history))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import apart
+from .joins import apart, join_on_summary
 
 INPUTS = ("client_ip", "cdn_token_id", "referrer_domain")
 
@@ -36,7 +36,7 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     tokens = tokens.select("value", "ip")
     groups = tokens.groupBy("value").agg(F.count("*").alias("addresses"))
     return (
-        tokens.join(groups, "value")
+        join_on_summary(tokens, groups, ["value"], "addresses")
         .groupBy("ip")
         .agg(
             F.count("*").alias("tokens"),

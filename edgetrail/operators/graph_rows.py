@@ -88,7 +88,11 @@ DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
         ("n_device_id", "n_user_agent"),
         lambda: identity.device_id(c("n_device_id"), c("n_user_agent")),
     ),
-    "device_type": (("n_user_agent",), lambda: identity.device_class(c("n_user_agent"))),
+    "low_agent": (("n_user_agent",), lambda: F.lower("n_user_agent")),
+    "device_type": (
+        ("n_user_agent", "low_agent"),
+        lambda: identity.device_class(c("n_user_agent"), c("low_agent")),
+    ),
     "user_agent": (("n_user_agent",), lambda: c("n_user_agent")),
     "referer": (("n_referer",), lambda: c("n_referer")),
     "referrer_host": (("n_referer",), lambda: urls.referrer_host(c("n_referer"))),
@@ -107,7 +111,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     ),
 }
 
-ALL_COLUMNS = [name for name in DERIVED if name not in ("referrer", "referrer_host", "named_content_id")]
+ALL_COLUMNS = [name for name in DERIVED if name not in ("referrer", "referrer_host", "named_content_id", "low_agent")]
 
 
 @cache

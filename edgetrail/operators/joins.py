@@ -37,10 +37,18 @@ def join_on_summary(
     """Inner join of rows with one summary row per key, safe when single keys are huge.
 
     ``rows_column`` of the summary counts the input rows of the key.  Keys above ``hot_rows``
-    number at most (all rows / hot_rows), so their summaries are broadcast and their rows stay
-    where they are; all other keys are joined by shuffle.
+    number at most (all rows / hot_rows), so their summaries are broadcast, and their rows get
+    a salt that spreads them over the shuffle in which the other keys meet their summaries.
+    The rows are read once.
     """
+    values = [c for c in summary.columns if c not in keys]
     hot, cold = apart(summary, F.col(rows_column) > hot_rows, F.col(rows_column) <= hot_rows)
-    on_hot = rows.join(F.broadcast(hot), list(keys))
-    on_cold = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(cold, list(keys))
-    return on_hot.unionByName(on_cold)
+    hot = hot.select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
+    cold = cold.select(
+        *keys, *[F.col(v).alias(f"_cold_{v}") for v in values], F.lit(True).alias("_cold"), F.lit(0).cast("bigint").alias("_salt")
+    )
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(100_000)) + 1).otherwise(0).cast("bigint")
+    met = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt)
+    met = met.join(cold, [*keys, "_salt"], "left").where("_hot OR _cold")
+    chosen = [F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values]
+    return met.select(*rows.columns, *chosen)

@@ -103,7 +103,8 @@ def _path(r: Record) -> Column:
 
 
 def _resource(r: Record) -> Column:
-    return r.share("resource", urls.resource_type(_path(r)), level=2)
+    low = r.share("low_path", F.lower(_path(r)), level=2)
+    return r.share("resource", urls.resource_type(_path(r), low), level=3)
 
 
 def _text(key: str, default: str = "-") -> Callable[[Record], Column]:
@@ -224,7 +225,7 @@ def _read(logs: DataFrame, columns: Iterable[str], raw: str) -> tuple[DataFrame,
             lambda p: urls.form_decode(F.regexp_replace(p, "^[^=]*=?", "")),
         )
         step = step.withColumns({"_param_names": name, "_param_values": value})
-    for level in (0, 1, 2):
+    for level in (0, 1, 2, 3):
         step = step.withColumns(
             {f"_shared_{n}": e for n, (at, e) in record.shared.items() if at == level}
         )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import apart
+from ..session import materialize
+from .joins import apart, join_on_summary
 
 FANOUT_INPUTS = (
     "viewing_session_id", "cdn_token_id", "account_id", "content_id", "client_ip", "referrer_domain",
@@ -30,8 +31,8 @@ def time_range(df: DataFrame, column: str, as_of: datetime, hours: float) -> Dat
 # --- token fan-out -------------------------------------------------------------------------
 
 
-def _session_legs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (session, token) pairs and distinct (session, kind, value) of the other legs.
+def _session_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (session, kind, value) of tokens, accounts, contents, addresses and referrers.
 
     The sessions' accounts, contents, addresses and referrers are reduced to distinct pairs
     before the join, so no product of the four legs is formed.
@@ -47,10 +48,14 @@ def _session_legs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.expr(e).isNotNull(), F.struct(F.lit(k).alias("kind"), F.expr(e).alias("value")))
         for k, e in legs.items()
     ]
-    pairs = rows.select(
+    return rows.select(
         "viewing_session_id", F.inline(F.array(*items))
     ).where("value IS NOT NULL").distinct()
-    tokens, members = apart(pairs, "kind = 'token'", "kind <> 'token'")
+
+
+def _session_legs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (session, token) pairs and distinct (session, kind, value) of the other legs."""
+    tokens, members = apart(_session_pairs(rows), "kind = 'token'", "kind <> 'token'")
     return tokens.select("viewing_session_id", F.col("value").alias("token")), members
 
 
@@ -82,17 +87,24 @@ def token_fanout_members(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1
     never has to fit into one row.
     """
     members = _members_of(*_session_legs(rows))
-    flagged = _flagged(members, min_ip, min_referrer)
-    return members.join(flagged.select("token"), "token", "left_semi")
+    size = sum((F.col(f"{k}_count") for k in ("account", "content", "ip", "referrer")), F.lit(0))
+    flagged = _flagged(members, min_ip, min_referrer).select("token", size.alias("members"))
+    return join_on_summary(members, flagged, ["token"], "members").select("token", "kind", "value")
 
 
 def suspicious_sessions(rows: DataFrame, limit: int = 50) -> DataFrame:
     """Sessions that used a flagged token, with their addresses; the first ``limit`` pairs."""
-    tokens, legs = _session_legs(rows)
+    # Written once: tokens and legs are each read several times below.
+    pairs = materialize(_session_pairs(rows), "session-pairs")
+    tokens = pairs.where("kind = 'token'").select("viewing_session_id", F.col("value").alias("token"))
+    legs = pairs.where("kind <> 'token'")
     flagged = _flagged(_members_of(tokens, legs), 2, 1).select("token")
-    sessions = tokens.join(flagged, "token", "left_semi").select("viewing_session_id").distinct()
+    by_token = tokens.groupBy("token").agg(F.count("*").alias("n")).join(flagged, "token", "left_semi")
+    sessions = join_on_summary(tokens, by_token, ["token"], "n").select("viewing_session_id").distinct()
     pairs = legs.where("kind = 'ip'").select("viewing_session_id", F.col("value").alias("client_ip"))
-    found = pairs.join(sessions, "viewing_session_id", "left_semi")
+    by_session = pairs.groupBy("viewing_session_id").agg(F.count("*").alias("n"))
+    by_session = by_session.join(sessions, "viewing_session_id", "left_semi")
+    found = join_on_summary(pairs, by_session, ["viewing_session_id"], "n").drop("n")
     return found.orderBy("viewing_session_id", "client_ip").limit(limit)
 
 
