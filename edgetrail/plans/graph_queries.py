@@ -11,6 +11,9 @@ from ..operators.correlation import INPUTS as CORRELATION_INPUTS
 from ..operators.correlation import ip_correlation, ip_paths, shared_tokens
 from ..operators.graph_rows import graph_rows
 from ..operators.normalize import REQUEST_COLUMNS, normalize_requests
+from ..operators.quality import replay_difference
+from ..session import scratch_path
+from ..sources import sinks
 from . import inputs
 from .oracle import NODES_AND_EDGES, first, last, over_norm, over_rows, resource
 from .registry import query
@@ -404,3 +407,38 @@ def legacy_graph_nodes(spark, sf_dir):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+# --- replay and sink -----------------------------------------------------------------------
+
+_REPLAYED = ("Edge", "ClientIP", "Content")
+
+
+@query(
+    "replay_check",
+    over_rows("""SELECT 'Edge' AS label, 0 AS differing UNION ALL SELECT 'ClientIP', 0
+    UNION ALL SELECT 'Content', 2 * count(DISTINCT content_id) FROM grows WHERE content_id <> ''"""),
+)
+def replay_check(spark, sf_dir):
+    """Fold a batch once and twice: plain nodes stay equal, counters double."""
+    columns = sorted({c for label in _REPLAYED for c in nodes.NODE_INPUTS[label]})
+    rows = _rows(spark, sf_dir, columns)
+    out = None
+    for label in _REPLAYED:
+        fold = nodes.NODE_FOLDS[label]
+        once = fold.partial(rows)
+        twice = fold.merge(once.unionByName(once))
+        differing = replay_difference(fold.result(once), fold.result(twice))
+        part = differing.agg(F.count("*").alias("differing")).select(F.lit(label).alias("label"), "differing")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "graph_sink",
+    over_rows("").rstrip() + "," + NODES_AND_EDGES + " SELECT type, count(*) AS edges FROM pairs GROUP BY type",
+)
+def graph_sink(spark, sf_dir):
+    path = scratch_path(spark, "graph")
+    sinks.sink_graph(_rows(spark, sf_dir, None), path)
+    return spark.read.parquet(f"{path}/edges").groupBy("type").agg(F.count("*").alias("edges"))
