@@ -12,7 +12,7 @@ from ..operators.correlation import ip_correlation, ip_paths, shared_tokens
 from ..operators.graph_rows import graph_rows
 from ..operators.normalize import REQUEST_COLUMNS, normalize_requests
 from ..operators.quality import replay_difference
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import sinks
 from . import inputs
 from .oracle import NODES_AND_EDGES, first, last, over_norm, over_rows, resource
@@ -422,11 +422,11 @@ _REPLAYED = ("Edge", "ClientIP", "Content")
 def replay_check(spark, sf_dir):
     """Fold a batch once and twice: plain nodes stay equal, counters double."""
     columns = sorted({c for label in _REPLAYED for c in nodes.NODE_INPUTS[label]})
-    rows = _rows(spark, sf_dir, columns)
+    rows = materialize(_rows(spark, sf_dir, columns), "replay-rows")
     out = None
     for label in _REPLAYED:
         fold = nodes.NODE_FOLDS[label]
-        once = fold.partial(rows)
+        once = materialize(fold.partial(rows), f"replay-{label}")
         twice = fold.merge(once.unionByName(once))
         differing = replay_difference(fold.result(once), fold.result(twice))
         part = differing.agg(F.count("*").alias("differing")).select(F.lit(label).alias("label"), "differing")
