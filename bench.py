@@ -13,7 +13,7 @@ HEADLINE = [
     "normalize_requests", "classify_requests", "viewing_sessions", "graph_nodes_request", "graph_nodes_content",
     "graph_nodes_token", "graph_nodes_segment", "graph_edges", "graph_statistics", "token_fanout",
     "token_fanout_members", "suspicious_sessions", "ip_correlation", "ip_paths", "traffic_totals", "top_addresses",
-    "request_counts", "pipeline_metrics", "rate_limit_report", "token_features", "live_edge_lag", "blocked_flag",
+    "request_counts", "window_metrics", "rate_limit_report", "token_features", "live_edge_lag", "blocked_flag",
     "sessions_with_users", "account_dashboard", "watch_history", "favorites", "catalog_upsert", "catalog_search",
     "manifest_reconcile", "playlist_inventory", "token_audit", "stream_sessions", "stream_metrics",
 ]

@@ -187,7 +187,7 @@ def log_search(requests: DataFrame, text: str = "", status: str = "all") -> Data
 # --- pipeline and gateway metrics ----------------------------------------------------------
 
 
-def pipeline_metrics(requests: DataFrame, bucket: str = "1 hour") -> DataFrame:
+def window_metrics(requests: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Per window: requests, MB and errors per second, cache hits, and delay percentiles.
 
     The delay is from the record's own time to its ingest time in whole milliseconds.  Rows

@@ -173,8 +173,8 @@ SELECT 'run-' || CAST(user_id AS VARCHAR(20)) || '-' || CAST(day(ts) AS VARCHAR(
   'lc' || lpad(CAST(user_id % 100 AS VARCHAR(8)), 3, '0') || CASE WHEN user_id % 8 = 0 THEN ',lc' || lpad(CAST(user_id % 100 AS VARCHAR(8)), 3, '0')
      WHEN user_id % 8 = 1 THEN ',x1' ELSE ',lc999' END AS clients_text,
   CAST(count(*) + user_id % 2 AS BIGINT) AS expected_request_count
-FROM events WHERE user_id % 3 = 0 AND event_type <> 'error' AND user_id % 11 <> 0
-GROUP BY user_id, day(ts)
+FROM events WHERE user_id % 3 = 0 AND event_type <> 'error'
+GROUP BY user_id, day(ts) HAVING max(event_type) > 'purchase'
 """
 
 # One logical client per customer, with deliberate collisions in some fields.

@@ -140,7 +140,7 @@ def log_search(spark, sf_dir):
     return found.select("arrival", "client_ip", "content_path", "status", "blocked")
 
 
-_RANGES = "SELECT DISTINCT '192.168.0.' || CAST(s_suppkey * 16 % 256 AS VARCHAR(4)) || '/' || CAST(28 + s_suppkey % 3 AS VARCHAR(4)) AS cidr FROM supplier WHERE s_suppkey % 4 = 0"
+_RANGES = "SELECT DISTINCT '192.168.0.' || CAST(s_suppkey * 8 % 256 AS VARCHAR(4)) || '/' || CAST(30 + s_suppkey % 3 AS VARCHAR(4)) AS cidr FROM supplier"
 
 
 @query(
@@ -156,7 +156,7 @@ def blocked_by_range(spark, sf_dir):
 
 
 @query(
-    "pipeline_metrics",
+    "window_metrics",
     over_norm("""SELECT date_trunc('day', event_ts) AS window_start, count(*) AS requests,
       round(count(*) / 86400.0, 6) AS requests_per_sec, round(sum(size) / 1e6 / 86400.0, 6) AS mb_per_sec,
       round(count(*) FILTER (WHERE status >= 400) / count(*), 6) AS error_rate,
@@ -165,9 +165,9 @@ def blocked_by_range(spark, sf_dir):
       round(quantile_cont(delay, 0.99), 3) AS delay_p99_ms, max(delay) AS lag_ms
       FROM (SELECT *, epoch_ms(ingest_ts) - epoch_ms(event_ts) AS delay FROM norm) d GROUP BY 1""", "shipped_log"),
 )
-def pipeline_metrics(spark, sf_dir):
+def window_metrics(spark, sf_dir):
     requests = _requests(spark, sf_dir, "event_ts", "ingest_ts", "size", "status", "cache_status")
-    return reports.pipeline_metrics(requests, "1 day")
+    return reports.window_metrics(requests, "1 day")
 
 
 @query(

@@ -92,23 +92,30 @@ def _body(text: Column) -> Column:
     return F.when(inside != "", inside)
 
 
-def merge_envelope(raw: Column) -> Column:
-    """The record with what is nested under ``json`` or written as text in ``message``.
+def merge_envelope(logs: DataFrame, raw: str) -> DataFrame:
+    """Records with what is nested under ``json`` or written as text in ``message`` merged in.
 
     The outer record goes last: for a repeated key the JSON reader keeps the last value.  The
     nested parts are looked for only in texts that name them, so plain records cost two
     substring searches.
     """
-    nested = F.when(raw.contains('"json"'), F.get_json_object(raw, "$.json"))
-    has_path = F.get_json_object(raw, "$.request_uri").isNotNull() | F.coalesce(
-        F.get_json_object(nested, "$.request_uri").isNotNull(), F.lit(False)
+    text, nested, message = F.col(raw), F.col("_nested"), F.col("_message")
+    step = logs.withColumns(
+        {
+            "_nested": F.when(text.contains('"json"'), F.get_json_object(text, "$.json")),
+            "_message": F.when(text.contains('"message"'), F.get_json_object(text, "$.message")),
+        }
     )
-    message = F.when(raw.contains('"message"'), F.get_json_object(raw, "$.message"))
+    has_path = F.coalesce(
+        F.get_json_object(text, "$.request_uri"), F.get_json_object(nested, "$.request_uri")
+    ).isNotNull()
     usable = message.startswith("{") & ~has_path & F.try_parse_json(message).isNotNull()
-    inner = [_body(F.when(nested.startswith("{"), nested)), _body(F.when(usable, message))]
-    merged = F.concat(F.lit("{"), F.concat_ws(",", *reversed(inner), _body(raw)), F.lit("}"))
-    enveloped = raw.contains('"json"') | raw.contains('"message"')
-    return F.when(enveloped & F.coalesce(*inner).isNotNull() & _body(raw).isNotNull(), merged).otherwise(raw)
+    step = step.withColumns(
+        {"_nested": _body(F.when(nested.startswith("{"), nested)), "_message": _body(F.when(usable, message))}
+    )
+    merged = F.concat(F.lit("{"), F.concat_ws(",", message, nested, _body(text)), F.lit("}"))
+    enveloped = F.coalesce(nested, message).isNotNull() & _body(text).isNotNull()
+    return step.withColumn(raw, F.when(enveloped, merged).otherwise(text)).drop("_nested", "_message")
 
 
 def parse_records(logs: DataFrame, keys: Sequence[str], raw: str = "raw") -> DataFrame:
@@ -123,5 +130,5 @@ def parse_records(logs: DataFrame, keys: Sequence[str], raw: str = "raw") -> Dat
     keys = list(dict.fromkeys(keys))
     rest = [c for c in logs.columns if c != raw]
     schema = schemas.text_struct([*keys, CORRUPT])
-    record = F.from_json(merge_envelope(F.col(raw)), schema, {"columnNameOfCorruptRecord": CORRUPT})
-    return logs.select(*rest, F.inline(F.array(record)).alias(*[input_name(k) for k in keys], CORRUPT))
+    record = F.from_json(F.col(raw), schema, {"columnNameOfCorruptRecord": CORRUPT})
+    return merge_envelope(logs, raw).select(*rest, F.inline(F.array(record)).alias(*[input_name(k) for k in keys], CORRUPT))
