@@ -77,7 +77,6 @@ def blocked_by_range(requests: DataFrame, ranges: DataFrame, address: str = "cli
     addresses = (
         requests.groupBy(address).agg(F.count("*").alias("_n"))
         .withColumn("_ip", ipv4_number(F.col(address)))
-        .where("_ip IS NOT NULL")
         .select(address, "_n", "_ip", F.explode(choices).alias("bits"))
         .withColumn("net", network(F.col("_ip"), F.col("bits")))
     )

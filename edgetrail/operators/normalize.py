@@ -59,12 +59,12 @@ def _dash() -> Column:
 
 
 def _client_ip(r: Record) -> Column:
-    address = F.coalesce(r.log("client_ip"), _dash())
-    for key in ("client_real_ip", "real_ip", "remote_addr"):
-        address = F.when(address == "-", F.coalesce(r.log(key), _dash())).otherwise(address)
-    forwarded = F.coalesce(r.log("x_forwarded_for"), _dash())
+    """First address that is not ``-``; an empty one counts, the forwarded list comes last."""
+    observed = [r.log(key) for key in ("client_ip", "client_real_ip", "real_ip", "remote_addr")]
+    forwarded = r.log("x_forwarded_for")
     first = F.trim(F.substring_index(forwarded, ",", 1))
-    address = F.when((address == "-") & (forwarded != "-"), first).otherwise(address)
+    chain = [F.when(a != "-", a) for a in observed] + [F.when(forwarded != "-", first), _dash()]
+    address = r.share("address", F.coalesce(*chain))
     return F.when(address == HIDDEN_ADDRESS, HIDDEN_CLIENT).otherwise(address)
 
 

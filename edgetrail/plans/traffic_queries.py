@@ -140,7 +140,7 @@ def log_search(spark, sf_dir):
     return found.select("arrival", "client_ip", "content_path", "status", "blocked")
 
 
-_RANGES = "SELECT DISTINCT '192.168.0.' || CAST(s_suppkey * 8 % 256 AS VARCHAR(4)) || '/' || CAST(30 + s_suppkey % 3 AS VARCHAR(4)) AS cidr FROM supplier"
+_RANGES = "SELECT DISTINCT '192.168.0.' || CAST(150 + s_suppkey * 8 % 104 AS VARCHAR(4)) || '/' || CAST(30 + s_suppkey % 3 AS VARCHAR(4)) AS cidr FROM supplier"
 
 
 @query(
