@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from edgetrail.plans import QUERIES
 from compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
     problem = difference(spark, duck, query, sql, SF_DIR)
