@@ -1,8 +1,8 @@
 """Byte-level BPE inside tasks: cached ids from the tokenizers library, and a heap-based token counter.
 
 Text is cut before each single space, where the pre-tokenizer always cuts too, and the pieces are looked up in a
-per-process cache. A text in which a space touches other white space in a way that could change the cut, or that
-holds a special string, is handled whole.
+per-process cache. A text in which a space touches other white space in a way that could change the cut (a part is
+empty or begins with white space), or that holds a special string, is handled whole.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import heapq
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -19,7 +20,7 @@ import numpy as np
 # The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 CACHED_CHARS = 64
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 _made: dict[str, object] = {}
@@ -44,32 +45,77 @@ def special_pattern(spec: dict) -> re.Pattern | None:
     return re.compile("|".join(map(re.escape, found))) if found else None
 
 
+class Uncuttable(Exception):
+    """A text must be handled whole."""
+
+
 class Encoder:
-    """Ids as the tokenizers library gives them, as little-endian unsigned 32-bit bytes."""
+    """Ids as the tokenizers library gives them, as little-endian unsigned 32-bit bytes. Pieces that are not cached
+    go through tiktoken with the same vocabulary, which gives the same ids for plain text."""
 
     def __init__(self, text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
+        spec = json.loads(text)
         self.tokenizer = Tokenizer.from_str(text)
-        self.special = special_pattern(json.loads(text))
+        self.special = special_pattern(spec)
+        self.spaced_special = any(" " in t["content"] for t in spec.get("added_tokens", []))
+        byte = {letter: b for b, letter in enumerate(byte_letters())}
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in spec["model"]["vocab"].items()}
+        self.piece = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.stops = {c: self.plain(c) for c in ",."}
+        self.line_end = self.plain("\n")
         self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def plain(self, text: str) -> bytes:
+        return array("I", self.piece(text)).tobytes()
+
+    def part(self, part: str) -> bytes:
+        """The ids of a space and a part. Letters before a comma or stop, and lines, are looked up on their own."""
+        cache = self.cache
+        if part.isalpha():
+            return self.plain(" " + part)
+        if not part or part[0].isspace() or self.special and self.special.search(part):
+            raise Uncuttable
+        if part[-1:] in self.stops and part[:-1].isalpha():
+            word = part[:-1]
+            if word not in cache:
+                cache[word] = self.plain(" " + word)
+            return cache[word] + self.stops[part[-1]]
+        lines = part.split("\n")
+        if len(lines) > 1 and len(part.split()) == len(lines):
+            first, *rest = lines
+            if first not in cache:
+                cache[first] = self.part(first)
+            return self.line_end.join([cache[first], *map(self.plain, rest)])
+        return self.plain(" " + part)
+
     def ids(self, text: str) -> bytes:
-        if _UNSAFE.search(text) or self.special and self.special.search(text):
-            return self.whole(text)
         first, *rest = text.split(" ")
         cache = self.cache
-        if new := [p for p in set(rest).difference(cache)]:
-            if len(cache) + len(new) > CACHE_ENTRIES:
+        if self.special and (self.spaced_special or self.special.search(first)) and self.special.search(text):
+            return self.whole(text)
+        try:
+            return self.plain(first) + b"".join(map(cache.__getitem__, rest))
+        except KeyError:
+            if len(cache) > CACHE_ENTRIES:
                 cache.clear()
-                new = list(set(rest))
-            got = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-            cache.update((p, np.asarray(e.ids, "<u4").tobytes()) for p, e in zip(new, got, strict=True))
-        return (self.whole(first) if first else b"") + b"".join(map(cache.__getitem__, rest))
+            new = set(rest).difference(cache)
+            try:
+                for p in new:
+                    cache[p] = self.part(p)
+            except Uncuttable:
+                return self.whole(text)
+            found = b"".join(map(cache.__getitem__, rest))
+            for p in new:
+                if "\n" in p or len(p) > CACHED_CHARS:  # these hardly come again
+                    del cache[p]
+            return self.plain(first) + found
 
 
 class Counter:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from edgetrail.llm.bpe import Encoder, once, tokenizer_text
 from edgetrail.llm.common import batches, rows_of, written
 
-SHARD_TAILS = 1024
+SHARD_TAILS = 512
 K1, B = 1.2, 0.75
 END_ID = 0
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -51,7 +51,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024) ->
             frequency[r.term] = r.n
     n = max(1, total.get(-1, 0))
     index = sc.broadcast((np.log1p((n - frequency + 0.5) / (frequency + 0.5)), max(1.0, total.get(-2, 0) / n)))
-    bodies = tokens.where(F.length("body") > 0).select("doc_id", "n", "body").mapInArrow(_bodies(window), PIECES)
+    # Whole windows need no neighbour: byte ranges, four bytes an id. Their sequences have even numbers, packed ones odd.
+    bodies = tokens.where(F.length("body") > 0).select("doc_id", "n", "body", F.explode(F.expr(f"sequence(0L, length(body) DIV 4 - 1, {window}L)")).alias("start"))
+    bodies = bodies.select(
+        "doc_id", "start", F.expr(f"substring(body, CAST(start * 4 + 1 AS INT), {window * 4})").alias("ids"), F.col("n").alias("doc_tokens"),
+        (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+    )
     packed = tails.repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id", "n", "tail").mapInArrow(_packer(index, window), PIECES)
     return bodies.unionByName(packed)
 
@@ -89,22 +94,6 @@ def _frequencies(parts):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]), pa.int64()), pa.array(np.concatenate([seen[at], [n, length]]), pa.int64())], names=["term", "n"])
 
 
-def _bodies(window: int):
-    def bodies(parts):
-        base, seq = TaskContext.get().partitionId() << 32, 0
-
-        def rows():
-            nonlocal seq
-            for doc_id, n, body in rows_of(parts, "doc_id", "n", "body"):
-                for at in range(0, len(body), window * 4):
-                    yield doc_id, at // 4, body[at : at + window * 4], n, (base + seq) * 2, 0
-                    seq += 1
-
-        yield from batches(rows(), _PIECES, 256)
-
-    return bodies
-
-
 def _packer(index, window: int):
     def pack(parts):
         idf, mean = index.value
@@ -191,14 +180,18 @@ class Postings:
         pairs, tf = np.unique(key, return_counts=True)  # ordered by term, then tail
         terms, self.tail = pairs // len(tails), pairs % len(tails)
         self.weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.tail] / mean))
-        self.terms, self.starts = np.unique(terms, return_index=True)
+        terms, self.starts = np.unique(terms, return_index=True)
         self.ends = np.append(self.starts[1:], len(pairs))
+        self.place = np.full(len(idf), -1)
+        self.place[terms] = np.arange(len(terms))
 
     def best(self, query: np.ndarray, unused: np.ndarray):
         """The unused tails, best first; ties, and tails without a common term, in order of the shard."""
         if not self.size or not unused.any():
             return
-        at = np.flatnonzero(np.isin(self.terms, query, kind="table" if len(self.terms) > 64 else None))
+        query = np.unique(query)
+        at = self.place[query[query < len(self.place)]]
+        at = at[at >= 0]
         spans = self.ends[at] - self.starts[at]
         where = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum()) if len(at) else at
         scores = np.bincount(self.tail[where], self.weight[where], self.size)
