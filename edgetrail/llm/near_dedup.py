@@ -5,7 +5,9 @@ empty bins borrow from a bin that an own hash sequence finds (optimal densificat
 one class. Classes that agree on all values of a band share a bucket, and each bucket only links its members to one
 center, so pairs stay in proportion to members. Centers are the members that share most buckets. Links are confirmed
 on full sets. What a star can miss - two members that are alike but not both like the center - is searched for only
-among members of a bucket that are still in different components, with a filter on one-bit values inside the join.
+among members of a bucket that are still in different components, each pair once for the bucket's main component. Inside
+that join a sketch estimates the similarity: 1024 bins of the same hashes, with a bit for "occupied" and one of the
+value; pairs that lie more than five deviations below the threshold are not put out.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from edgetrail.llm.shingles import hashed, mixed, shingle_set, spaced_words
 
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
-# Bits that differ at a similarity of 0.8: 10 % of BINS on average, with a deviation of under 5; six deviations more.
-MAX_BITS = 54
+SKETCH_BINS = 1024
+SKETCH_LONGS = SKETCH_BINS // 64
 _PROBES = 4096
 _SIGNATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
 )
 _probes: list[np.ndarray] = []
 
@@ -55,6 +57,16 @@ def values(distinct: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sketch(distinct: np.ndarray) -> list[int]:
+    """SKETCH_LONGS words of occupied bins, then as many with the lowest mixed bit of each bin's least hash."""
+    bins = (distinct >> np.uint64(64 - 10)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros((2, SKETCH_BINS), np.uint8)
+    out[0, bins[first]] = 1
+    out[1, bins[first]] = (mixed(distinct[first]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(out).view(np.int64).tolist()
+
+
 def _signature(text: str | None, size: int) -> tuple:
     distinct = shingle_set(hashed(spaced_words(text)), size) if text else ()
     if not len(distinct):
@@ -63,9 +75,8 @@ def _signature(text: str | None, size: int) -> tuple:
     key = np.arange(BANDS, dtype=np.uint64)
     for column in v.reshape(BANDS, ROWS).T:
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    low = np.packbits(np.append(mixed(v) & np.uint64(1), np.zeros(256 - BINS, np.uint64)).astype(np.uint8))
     a, b = np.frombuffer(xxhash.xxh3_128_digest(distinct.tobytes()), np.int64).tolist()
-    return len(distinct), a, b, key.view(np.int64).tolist(), low.view(np.int64).tolist()
+    return len(distinct), a, b, key.view(np.int64).tolist(), _sketch(distinct)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -81,11 +92,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         yield from batches(((d, *_signature(t, size)) for d, t in rows_of(parts, "doc_id", "text")), _SIGNATURES)
 
     rows = docs.select("doc_id", "text")
-    signed = written(rows.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "signatures")
+    signed = written(rows.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, keys array<long>, sketch array<long>"), "signatures")
     classes = written(
         signed.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+        .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
         .withColumn("cls", F.monotonically_increasing_id()),
         "classes",
     )
@@ -94,23 +105,35 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     members = written(dealt.join(shared, "key"), "buckets")
 
     weight = members.groupBy("cls").agg(F.sum("members").alias("weight"))
-    centers = members.join(weight, "cls").groupBy("key").agg(F.max_by("cls", F.struct("weight", -F.col("cls"))).alias("center"))
-    star = members.join(centers, "key").where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
-    looks = classes.select("cls", "n", "least", *(F.col("bits")[i].alias(f"bits{i}") for i in range(4)))
-    likely = star.join(_named(looks, "a"), "a").join(_named(looks, "b"), "b").where(_alike(percent)).select("a", "b", "a_least", "b_least")
-    links = written(_confirmed(rows, likely, size, percent), "links")
-    roots = components(links.select("a", "b"))
+    best = F.max(F.struct("weight", (-F.col("cls")).alias("minus")))
+    centers = members.join(weight, "cls").groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.minus")).alias("center"), "best.weight")
+    star = members.join(centers, "key").where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"), "weight").distinct()
+    looks = classes.select("cls", *_LOOKS)
+    likely = star.join(_named(looks, "a"), "a").join(_named(looks, "b"), "b").where(_alike(percent))
+    likely = written(likely.select("a", "b", "a_least", "b_least", "weight"), "star")
+    # First every member with its heaviest center; then what is still apart, so few sets are made and sent.
+    first = likely.groupBy("b").agg(F.max_by(F.struct("a", "b", "a_least", "b_least"), F.struct("weight", -F.col("a"))).alias("pair")).select("pair.*")
+    links = written(_confirmed(rows, first, size, percent), "links")
+    roots = components(links)
+    apart = likely.join(roots.select(F.col("cls").alias("a"), F.col("root").alias("a_root")), "a", "left").join(roots.select(F.col("cls").alias("b"), F.col("root").alias("b_root")), "b", "left")
+    apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "a_least", "b_least")
+    links = written(links.unionByName(_confirmed(rows, apart, size, percent)), "links")
+    roots = components(links)
 
     parts = members.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("part"))
     sizes = parts.groupBy("key", "part").agg(F.count("*").alias("members"))
     open_keys = sizes.groupBy("key").agg(F.max_by("part", F.struct("members", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    left = written(parts.join(open_keys, "key").join(looks, "cls").drop("parts"), "open-buckets")
-    other = left.select("key", F.col("part").alias("b_part"), F.col("main").alias("b_main"), F.col("cls").alias("b"), *(F.col(c).alias(f"b_{c}") for c in _LOOKS))
-    mine = left.where("part <> main").select("key", F.col("part").alias("a_part"), F.col("cls").alias("a"), *(F.col(c).alias(f"a_{c}") for c in _LOOKS))
-    crossing = mine.join(other, (mine.key == other.key) & (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("b_main")) | (F.col("a") < F.col("b"))) & _alike(percent))
-    more = written(_confirmed(rows, crossing.select("a", "b", "a_least", "b_least").distinct(), size, percent), "more-links")
+    left = parts.join(open_keys, "key").select("main", "part", "cls").distinct()
+    left = written(left.join(looks, "cls"), "open-buckets")
+    names = ("part", "cls", *_LOOKS)
+    mine = left.where("part <> main").select(F.col("main").alias("a_main"), *(F.col(c).alias(f"a_{c}") for c in names))
+    other = left.select(F.col("main").alias("b_main"), *(F.col(c).alias(f"b_{c}") for c in names))
+    once = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("b_main")) | (F.col("a_cls") < F.col("b_cls")))
+    crossing = mine.join(other, (F.col("a_main") == F.col("b_main")) & once & _alike(percent))
+    crossing = crossing.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), "a_least", "b_least").distinct()
+    more = written(_confirmed(rows, crossing, size, percent), "more-links")
     if not more.isEmpty():
-        roots = components(links.unionByName(more).select("a", "b"))
+        roots = components(links.unionByName(more))
 
     placed = classes.select("cls", "set_a", "set_b", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
@@ -120,7 +143,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-_LOOKS = ("n", "least", "bits0", "bits1", "bits2", "bits3")
+_LOOKS = ("n", "least", "sketch")
 
 
 def _named(looks: DataFrame, name: str) -> DataFrame:
@@ -128,10 +151,23 @@ def _named(looks: DataFrame, name: str) -> DataFrame:
 
 
 def _alike(percent: int):
-    """Sizes and one-bit values that a pair of at least this similarity has."""
-    differing = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(4)))
-    a, b = F.col("a_n") * 100, F.col("b_n") * 100
-    return (a >= F.col("b_n") * percent) & (b >= F.col("a_n") * percent) & (differing <= MAX_BITS + (80 - min(percent, 80)) * BINS // 200)
+    """Sizes, and an estimate from sketches, that a pair of at least this similarity has."""
+
+    def total(of):
+        return reduce(lambda x, y: x + y, (F.bit_count(of(i)) for i in range(SKETCH_LONGS)))
+
+    def at(side: str, i: int):
+        return F.col(f"{side}_sketch")[i]
+
+    either = total(lambda i: at("a", i).bitwiseOR(at("b", i)))
+    both = total(lambda i: at("a", i).bitwiseAND(at("b", i)))
+    odd = total(lambda i: at("a", i).bitwiseAND(at("b", i)).bitwiseAND(at("a", i + SKETCH_LONGS).bitwiseXOR(at("b", i + SKETCH_LONGS))))
+    # Bins with different values agree in their bit by half, so twice the odd bins differ; the rest holds equal values.
+    share, a, b = percent / 100, F.col("a_n"), F.col("b_n")
+    sampled = F.greatest(F.lit(0.0), 1 - either / ((a + b) / (1 + share)))
+    deviation = F.sqrt(2 * odd + share * (1 - share) * either * sampled)
+    sizes = (a * 100 >= b * percent) & (b * 100 >= a * percent)
+    return sizes & (both - 2 * odd + 5 * deviation + 2 >= share * either)
 
 
 def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -143,9 +179,10 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     def sets(parts):
         yield from batches(((c, shingle_set(hashed(spaced_words(t)), size).view(np.int64)) for c, t in rows_of(parts, "cls", "text")), schema, 64)
 
-    # A repeated doc_id with several texts has several sets; all of them are compared and the best counts.
-    texts = rows.join(ends, rows.doc_id == ends.least).select("cls", "text").where("text IS NOT NULL")
-    items = written(texts.mapInArrow(sets, "cls long, items array<long>").distinct(), "sets")
+    # A repeated doc_id with several texts has several sets; all of them are compared and the best counts. Equal rows
+    # are one here, by the partitioning of the join.
+    texts = rows.where("text IS NOT NULL").join(ends, rows.doc_id == ends.least).select("least", "cls", "text").distinct()
+    items = written(texts.select("cls", "text").mapInArrow(sets, "cls long, items array<long>"), "sets")
     both = (
         pairs.select("a", "b")
         .join(items.select(F.col("cls").alias("b"), F.col("items").alias("b_items")), "b")
