@@ -305,12 +305,15 @@ def test_html(spark):
 
 def test_html_accuracy_on_held_out_variants(spark):
     pages = pq.read_table(f"{SF_DIR}/pages.parquet").column("html").to_pylist()
-    model = html_text.fit(ship(spark).read.parquet(f"{SF_DIR}/pages.parquet").limit(60), 60)
+    model = html_text.fit(ship(spark).read.parquet(f"{SF_DIR}/pages.parquet").limit(25), 25)
     right = total = 0
-    for i, page in enumerate(pages[60:]):
+    for i, page in enumerate(p for p in pages[25:] if p):
         for text in html_text.variants(page, 10_000 + i):
             nodes = html_text.parse(text)
-            truth = [bool(t) for t in html_text.weak_truth(nodes)]
+            found = html_text.weak_truth(nodes)
+            if found is None:  # a page without content has no truth to hold it against
+                continue
+            truth = [bool(t) for t in found]
             right += html_text.main_text(nodes, html_text.decode(nodes, model.odds(html_text.features(nodes)))) == html_text.main_text(nodes, truth)
             total += 1
     assert right / total > 0.95, right / total
