@@ -27,6 +27,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
+            "spark.edgetrail.spreadSmallInputs": "true",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -44,7 +44,8 @@ def to_long(col: Column) -> Column:
 
 
 def to_double(col: Column) -> Column:
-    return F.coalesce(col.try_cast("double"), F.lit(0.0))
+    """A number or 0; a type letter after the digits, as in ``5d``, is no part of a number."""
+    return F.coalesce(F.when(~col.rlike(r"[0-9.][dDfF]\s*$"), col.try_cast("double")), F.lit(0.0))
 
 
 def parse_flag(col: Column, fallback: bool = False) -> Column:

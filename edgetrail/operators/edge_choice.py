@@ -6,22 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import region_from_ip
-from .joins import broadcast_if_small
 
 
 def edge_for(requests: DataFrame, edges: DataFrame, default_id: str, default_url: str) -> DataFrame:
     """Adds the edge named by ``edge_id``, else the edge of the client's region, else the default.
 
-    ``edges`` has edge_id, region and url.
+    ``edges`` has edge_id, region and url. Of several edges with one id (in any case) or one region, that
+    with the least edge_id is meant.
     """
-    small = broadcast_if_small(edges)
-    by_id = small.select(
-        F.lower("edge_id").alias("_id_key"), F.col("edge_id").alias("_id"), F.col("region").alias("_id_region"),
-        F.col("url").alias("_id_url"),
-    )
-    by_region = small.select(
-        F.col("region").alias("_region"), F.col("edge_id").alias("_region_id"), F.col("url").alias("_region_url")
-    )
+    ids = edges.groupBy(F.lower("edge_id").alias("_id_key")).agg(F.min(F.struct("edge_id", "region", "url")).alias("e"))
+    regions = edges.groupBy("region").agg(F.min(F.struct("edge_id", "url")).alias("e"))
+    by_id = ids.select("_id_key", F.col("e.edge_id").alias("_id"), F.col("e.region").alias("_id_region"), F.col("e.url").alias("_id_url"))
+    by_region = regions.select(F.col("region").alias("_region"), F.col("e.edge_id").alias("_region_id"), F.col("e.url").alias("_region_url"))
     rows = requests.withColumn("_id_key", F.lower(F.trim("edge_id"))).withColumn(
         "_region", region_from_ip(F.col("client_ip"))
     )

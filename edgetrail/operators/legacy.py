@@ -1,4 +1,4 @@
-"""The older address/token/referer graph over a recent slice of the raw log, and its queries."""
+"""The older address/token/referer graph over the last hours of the raw log, and its queries."""
 
 from __future__ import annotations
 
@@ -10,18 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.values import filled, known
 from .reports import time_range
 
-# Page size of the slice and the country given to every address.
-SLICE_ROWS = 1000
+# Fixed value: the country given to every address.
 COUNTRY = "KR"
 
 
-def recent_slice(requests: DataFrame, as_of: datetime, hours: float = 1.0, limit: int = SLICE_ROWS) -> DataFrame:
-    """The newest rows of the last hours; the page size is part of the tool.
-
-    Adds ``nth``, the order in which the tool folds them: newest first.
-    """
+def recent_slice(requests: DataFrame, as_of: datetime, hours: float = 1.0, limit: int | None = None) -> DataFrame:
+    """All rows of the last hours, or with ``limit`` one page of the newest."""
     recent = time_range(requests, "fold_ts", as_of, hours)
-    return recent.orderBy(F.desc("fold_ts"), F.desc("arrival")).limit(limit)
+    return recent if limit is None else recent.orderBy(F.desc("fold_ts"), F.desc("arrival")).limit(limit)
 
 
 def _page_rows(page: DataFrame) -> DataFrame:

@@ -92,8 +92,8 @@ def token_fanout_members(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1
     return join_on_summary(members, flagged, ["token"], "members").select("token", "kind", "value")
 
 
-def suspicious_sessions(rows: DataFrame, limit: int = 50) -> DataFrame:
-    """Sessions that used a flagged token, with their addresses; the first ``limit`` pairs."""
+def suspicious_sessions(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sessions that used a flagged token, with their addresses: all pairs, or with ``limit`` the first ones."""
     # Written once: tokens and legs are each read several times below.
     pairs = materialize(_session_pairs(rows), "session-pairs")
     tokens = pairs.where("kind = 'token'").select("viewing_session_id", F.col("value").alias("token"))
@@ -105,7 +105,7 @@ def suspicious_sessions(rows: DataFrame, limit: int = 50) -> DataFrame:
     by_session = pairs.groupBy("viewing_session_id").agg(F.count("*").alias("n"))
     by_session = by_session.join(sessions, "viewing_session_id", "left_semi")
     found = join_on_summary(pairs, by_session, ["viewing_session_id"], "n").drop("n")
-    return found.orderBy("viewing_session_id", "client_ip").limit(limit)
+    return found if limit is None else found.orderBy("viewing_session_id", "client_ip").limit(limit)
 
 
 # --- traffic -------------------------------------------------------------------------------

@@ -242,8 +242,7 @@ def token_fanout_members(spark, sf_dir):
 @query(
     "suspicious_sessions",
     over_rows("").rstrip() + _MEMBERS + """ SELECT DISTINCT viewing_session_id, client_ip FROM grows
-    WHERE client_ip NOT IN ('', '-') AND viewing_session_id IN (SELECT viewing_session_id FROM ts WHERE token IN (SELECT token FROM fanout))
-    ORDER BY viewing_session_id, client_ip LIMIT 50""",
+    WHERE client_ip NOT IN ('', '-') AND viewing_session_id IN (SELECT viewing_session_id FROM ts WHERE token IN (SELECT token FROM fanout))""",
 )
 def suspicious_sessions(spark, sf_dir):
     return reports.suspicious_sessions(_rows(spark, sf_dir, reports.FANOUT_INPUTS))
@@ -354,7 +353,7 @@ def shared_tokens_query(spark, sf_dir):
 
 _LEGACY_HOURS = 6.0
 _LEGACY_CTE = over_norm("", "shipped_log").rstrip() + f""",
-page AS (SELECT * FROM norm WHERE fold_ts >= (SELECT max(fold_ts) FROM norm) - INTERVAL {int(_LEGACY_HOURS)} HOUR ORDER BY fold_ts DESC, arrival DESC LIMIT 1000),
+page AS (SELECT * FROM norm WHERE fold_ts >= (SELECT max(fold_ts) FROM norm) - INTERVAL {int(_LEGACY_HOURS)} HOUR),
 slice AS (SELECT remote_addr AS address, nullif(http_x_session_token, '') AS token, split_part(list_last(string_split(referer, '//')), '/', 1) AS domain,
   nullif(split_part(split_part(content_path, '/hls/', 2), '.', 1), '') AS content, fold_ts AS seen_at, arrival FROM page)"""
 

@@ -37,19 +37,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SPREAD = "spark.edgetrail.spreadSmallInputs"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input as many partitions as there are cores; larger inputs stay as they are.
+    """Where SPREAD is set (benchmarks), give a small input as many partitions as there are cores.
 
     A file of one row group is one task.  The shuffle this adds is bounded by the rows of fewer
     splits than the cluster has cores.
     """
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only if none is set."""
+    """The shared folder of spark.checkpoint.dir; a local one only where driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not root and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or LOCAL_SCRATCH).rstrip("/")
 
 

@@ -7,6 +7,7 @@ with equal timestamps the way they lie in the input.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,8 @@ def read_index(
 
     ``limit`` is the page size of a poll; leave it out to read everything.
     """
-    logs = read_access_log(spark, list(dict.fromkeys(patterns)))
+    files = spark.read.text(list(patterns)).inputFiles()  # distinct, however many patterns name a file
+    logs = read_access_log(spark, sorted(unquote(f) for f in files))
     stamp = F.get_json_object("raw", "$['@timestamp']")
     logs = logs.withColumn("index_ts", F.try_to_timestamp(F.coalesce(stamp, F.get_json_object("raw", "$.timestamp"))))
     return index_page(logs, from_ts, limit)
@@ -95,6 +97,7 @@ def _body(text: Column) -> Column:
 def merge_envelope(logs: DataFrame, raw: str) -> DataFrame:
     """Records with what is nested under ``json`` or written as text in ``message`` merged in.
 
+    Only an object under ``json`` counts, and blanks around the text in ``message`` do not matter.
     The outer record goes last: for a repeated key the JSON reader keeps the last value.  The
     nested parts are looked for only in texts that name them, so plain records cost two
     substring searches.
@@ -102,8 +105,8 @@ def merge_envelope(logs: DataFrame, raw: str) -> DataFrame:
     text, nested, message = F.col(raw), F.col("_nested"), F.col("_message")
     step = logs.withColumns(
         {
-            "_nested": F.when(text.contains('"json"'), F.get_json_object(text, "$.json")),
-            "_message": F.when(text.contains('"message"'), F.get_json_object(text, "$.message")),
+            "_nested": F.when(text.rlike(r'"json"\s*:\s*\{'), F.get_json_object(text, "$.json")),
+            "_message": F.when(text.contains('"message"'), F.trim(F.get_json_object(text, "$.message"))),
         }
     )
     has_path = F.coalesce(

@@ -5,11 +5,16 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from edgetrail.functions.identity import region_from_ip
+from edgetrail.functions.values import to_double
 from edgetrail.operators import playlists as pl
+from edgetrail.operators.edge_choice import edge_for
 from edgetrail.operators.graph_rows import graph_rows
 from edgetrail.operators.normalize import normalize_requests
 from edgetrail.schemas import TABLES
+from edgetrail.sources import logs as logs_source
 from edgetrail.sources import relational, sinks
 from edgetrail.sources.logs import read_api_events, read_origin_log
 from edgetrail.sources.playlists import list_files, read_playlists
@@ -95,3 +100,27 @@ def test_typed_readers(spark, tmp_path):
     for name, schema in TABLES.items():
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
     assert set(relational.read_catalog_tables(spark, str(tmp_path))) == set(TABLES)
+
+
+def test_overlapping_patterns_read_a_file_once(spark, tmp_path):
+    (tmp_path / "a one.log").write_text('{"timestamp":"2024-01-01T00:00:00Z"}\n')
+    assert logs_source.read_index(spark, [f"{tmp_path}/*.log", f"{tmp_path}/a*.log"]).count() == 1
+
+
+def test_envelope_takes_objects_and_trims_messages(spark):
+    raws = ['{"message":"  {\\"status\\":\\"200\\"} "}', '{"json":"{\\"status\\":\\"200\\"}"}', '{"json" : {"status":"200"}}']
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string")
+    assert [json.loads(r.raw).get("status") for r in logs_source.merge_envelope(rows, "raw").collect()] == ["200", None, "200"]
+
+
+def test_several_edges_of_a_region_give_one_row(spark):
+    requests = spark.createDataFrame([("", "10.0.0.1"), ("EDGE-b", "10.0.0.1")], "edge_id string, client_ip string")
+    region = requests.select(region_from_ip(F.col("client_ip"))).first()[0]
+    edges = spark.createDataFrame([("edge-b", region, "u2"), ("edge-a", region, "u1")], "edge_id string, region string, url string")
+    chosen = edge_for(requests, edges, "none", "none").orderBy("edge_id").collect()
+    assert len(chosen) == 2 and chosen[1].chosen_edge == "edge-b" and chosen[0].chosen_edge in ("edge-a", "none")
+
+
+def test_type_letters_are_no_numbers(spark):
+    rows = spark.createDataFrame([("5d",), ("5f",), ("5.5",), ("1e3",), (None,)], "v string")
+    assert [r[0] for r in rows.select(to_double(F.col("v"))).collect()] == [0.0, 0.0, 5.5, 1000.0, 0.0]
