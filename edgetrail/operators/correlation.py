@@ -54,18 +54,23 @@ def ip_correlation(rows: DataFrame, starts: DataFrame) -> DataFrame:
     and result grow with starts x addresses, never with all pairs.
     """
     seen = _incidence(rows)
-    own, everyone, spans = apart(seen, "true", "true", "true")
-    probe = own.join(starts.select("ip").distinct(), "ip", "left_semi").select("kind", "value", F.col("ip").alias("ip1"))
-    shared = (
-        probe.join(everyone.select("kind", "value", F.col("ip").alias("ip2")), ["kind", "value"])
+    tokens, referrers, own, spans = apart(seen, "kind = 'token'", "kind = 'referrer'", "true", "true")
+    own = own.join(starts.select("ip").distinct(), "ip", "left_semi").select("kind", "value", F.col("ip").alias("ip1"))
+    pairs = (
+        own.where("kind = 'token'")
+        .join(tokens.select("value", F.col("ip").alias("ip2")), "value")
         .where("ip1 <> ip2")
         .groupBy("ip1", "ip2")
-        .agg(
-            F.count_if(F.col("kind") == "token").alias("shared_tokens"),
-            F.count_if(F.col("kind") == "referrer").alias("shared_referers"),
-        )
-        .where("shared_tokens > 0")
+        .agg(F.count("*").alias("shared_tokens"))
+    )
+    # Referrers are compared only for pairs that share a token: a referrer of everyone makes no pairs.
+    visited = pairs.select("ip1", "ip2").join(own.where("kind = 'referrer'").select("ip1", "value"), "ip1")
+    common = (
+        visited.join(referrers.select("value", F.col("ip").alias("ip2")), ["value", "ip2"])
+        .groupBy("ip1", "ip2")
+        .agg(F.count("*").alias("shared_referers"))
     )
+    shared = pairs.join(common, ["ip1", "ip2"], "left").fillna(0, ["shared_referers"])
     per_ip = spans.groupBy("ip").agg(
         F.count("*").alias("items"), F.min("first_seen").alias("first"), F.max("last_seen").alias("last")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialize
 from .joins import apart, join_on_summary
 
 FANOUT_INPUTS = (
@@ -28,6 +27,9 @@ def time_range(df: DataFrame, column: str, as_of: datetime, hours: float) -> Dat
     return df.where((F.col(column) >= start) & (F.col(column) <= end))
 
 
+_FANOUT_KINDS = ("account", "content", "ip", "referrer")
+
+
 # --- token fan-out -------------------------------------------------------------------------
 
 
@@ -64,43 +66,47 @@ def _members_of(tokens: DataFrame, legs: DataFrame) -> DataFrame:
     return tokens.join(legs, "viewing_session_id").select("token", "kind", "value").distinct()
 
 
-def _fanout_counts(members: DataFrame) -> DataFrame:
-    def count(kind: str) -> Column:
-        return F.count_if(F.col("kind") == kind).alias(f"{kind}_count")
+def _fanout_counts(members: DataFrame, key: str) -> DataFrame:
+    counts = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in _FANOUT_KINDS]
+    return members.groupBy(key).agg(*counts)
 
-    return members.groupBy("token").agg(*[count(k) for k in ("account", "content", "ip", "referrer")])
 
+def _flagged(tokens: DataFrame, legs: DataFrame, min_ip: int, min_referrer: int) -> DataFrame:
+    """Counts of the flagged tokens, with their number of sessions.
 
-def _flagged(members: DataFrame, min_ip: int, min_referrer: int) -> DataFrame:
-    return _fanout_counts(members).where((F.col("ip_count") > min_ip) | (F.col("referrer_count") > min_referrer))
+    A token of one session has that session's counts, so a session with many tokens and many
+    members costs one row per token.  Only tokens of several sessions unite their members.
+    """
+    seen = tokens.groupBy("token").agg(F.count("*").alias("sessions"), F.min("viewing_session_id").alias("viewing_session_id"))
+    single, several = apart(seen, "sessions = 1", "sessions > 1")
+    of_session = single.join(_fanout_counts(legs, "viewing_session_id"), "viewing_session_id").drop("viewing_session_id")
+    several = several.select("token", "sessions")
+    united = _fanout_counts(_members_of(join_on_summary(tokens, several, ["token"], "sessions").drop("sessions"), legs), "token")
+    counts = of_session.unionByName(united.join(several, "token"))
+    return counts.where((F.col("ip_count") > min_ip) | (F.col("referrer_count") > min_referrer))
 
 
 def token_fanout(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1) -> DataFrame:
     """Tokens used from more than ``min_ip`` addresses or ``min_referrer`` referrers."""
-    return _flagged(_members_of(*_session_legs(rows)), min_ip, min_referrer)
+    return _flagged(*_session_legs(rows), min_ip, min_referrer).select("token", *[f"{k}_count" for k in _FANOUT_KINDS])
 
 
 def token_fanout_members(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1) -> DataFrame:
     """The accounts, contents, addresses and referrers of the flagged tokens, one per row.
 
     One row per member instead of one list per token: a token shared by very many clients
-    never has to fit into one row.
+    never has to fit into one row.  Only flagged tokens meet the members of their sessions.
     """
-    members = _members_of(*_session_legs(rows))
-    size = sum((F.col(f"{k}_count") for k in ("account", "content", "ip", "referrer")), F.lit(0))
-    flagged = _flagged(members, min_ip, min_referrer).select("token", size.alias("members"))
-    return join_on_summary(members, flagged, ["token"], "members").select("token", "kind", "value")
+    tokens, legs = _session_legs(rows)
+    flagged = _flagged(tokens, legs, min_ip, min_referrer).select("token", "sessions")
+    return _members_of(join_on_summary(tokens, flagged, ["token"], "sessions"), legs)
 
 
 def suspicious_sessions(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Sessions that used a flagged token, with their addresses: all pairs, or with ``limit`` the first ones."""
-    # Written once: tokens and legs are each read several times below.
-    pairs = materialize(_session_pairs(rows), "session-pairs")
-    tokens = pairs.where("kind = 'token'").select("viewing_session_id", F.col("value").alias("token"))
-    legs = pairs.where("kind <> 'token'")
-    flagged = _flagged(_members_of(tokens, legs), 2, 1).select("token")
-    by_token = tokens.groupBy("token").agg(F.count("*").alias("n")).join(flagged, "token", "left_semi")
-    sessions = join_on_summary(tokens, by_token, ["token"], "n").select("viewing_session_id").distinct()
+    tokens, legs = _session_legs(rows)
+    flagged = _flagged(tokens, legs, 2, 1).select("token", "sessions")
+    sessions = join_on_summary(tokens, flagged, ["token"], "sessions").select("viewing_session_id").distinct()
     pairs = legs.where("kind = 'ip'").select("viewing_session_id", F.col("value").alias("client_ip"))
     by_session = pairs.groupBy("viewing_session_id").agg(F.count("*").alias("n"))
     by_session = by_session.join(sessions, "viewing_session_id", "left_semi")

@@ -45,7 +45,9 @@ def from_base64url(text: Column) -> Column:
     return F.try_to_binary(padded, F.lit("base64")).cast("string")
 
 
-def _signed_text(p: str) -> Column:
+def _signed_text(p: str, names: Column) -> Column:
+    """The text that is signed; ``names`` are the payload's keys, of which one with a null counts as an empty tag."""
+
     def plain(key: str) -> Column:
         return F.concat(F.lit(f"{key}="), F.coalesce(F.col(f"{p}.{key}"), F.lit("undefined")))
 
@@ -54,7 +56,7 @@ def _signed_text(p: str) -> Column:
         F.concat(F.lit(f"{k}="), sanitize_tag(F.col(f"{p}.{k}"), n, case)) for k, n, case in ALWAYS_SIGNED_TAGS
     ]
     parts += [
-        F.when(F.col(f"{p}.{k}").isNotNull(), F.concat(F.lit(f"{k}="), sanitize_tag(F.col(f"{p}.{k}"), n)))
+        F.when(F.array_contains(names, k), F.concat(F.lit(f"{k}="), sanitize_tag(F.col(f"{p}.{k}"), n)))
         for k, n in SIGNED_IF_PRESENT
     ]
     return F.concat_ws("&", *parts)
@@ -69,10 +71,11 @@ def audit_tokens(requests: DataFrame, secret: str, as_of_epoch: int) -> DataFram
     text = from_base64url(F.col("token"))
     rows = requests.withColumn("_text", text)
     rows = rows.withColumn("_p", F.from_json("_text", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    rows = rows.withColumn("_names", F.coalesce(F.json_object_keys("_text"), F.array().cast("array<string>")))
     rows = rows.withColumn("_exp", F.col("_p.exp").try_cast("double"))
     rows = rows.withColumn("_iat", F.coalesce(F.col("_p.iat").try_cast("double"), F.lit(0.0)))
     path = hls_path_of(F.col("request_uri"))
-    bound = (F.col("_p.ip_bind") == "true") & (F.col("_p.client_ip") != "")
+    bound = ~F.col("_p.ip_bind").isin("", "false", "0", "0.0") & (F.col("_p.client_ip") != "")
     reason = (
         F.when(
             F.coalesce(F.col("token"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("sig"), F.lit("")).eqNullSafe(""),
@@ -80,7 +83,7 @@ def audit_tokens(requests: DataFrame, secret: str, as_of_epoch: int) -> DataFram
         )
         .when(F.col("_text").isNull() | F.col("_p").isNull() | F.col("_p._corrupt").isNotNull(), "invalid_token_encoding")
         .when(F.col("_exp").isNull() | (F.col("_exp") == 0) | (F.lit(as_of_epoch) > F.col("_exp")), "token_expired")
-        .when(hmac_sha256(secret, _signed_text("_p")) != F.col("sig"), "invalid_signature")
+        .when(hmac_sha256(secret, _signed_text("_p", F.col("_names"))) != F.col("sig"), "invalid_signature")
         .when(~F.col("_p.edge").eqNullSafe(F.col("edge_id")), "edge_mismatch")
         .when(
             F.coalesce(bound, F.lit(False)) & ~F.col("_p.client_ip").eqNullSafe(normalize_ip(F.col("client_ip"))),

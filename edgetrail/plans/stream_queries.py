@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.edges import EDGE_INPUTS
+from ..operators.nodes import NODE_FOLDS
 from ..operators.normalize import normalize_requests
 from ..session import scratch_path
 from ..streaming import graph_stream as gs
 from . import inputs
 from .graph_queries import NODE_CHECKS
 from .oracle import NODES_AND_EDGES, over_norm, over_rows
-from .registry import query
+from .registry import CHECKS, query
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +33,14 @@ def access_log_stream(spark: SparkSession, sf_dir: str, name: str = "access_log"
     return spark.sql(inputs.SQL[name])
 
 
+def _in_batches(spark: SparkSession, sf_dir: str, name: str, path: str) -> DataFrame:
+    """A derived log, written as files of which a stream reads a quarter per batch."""
+    cores = spark.sparkContext.defaultParallelism
+    logs = inputs.load(spark, sf_dir, name)
+    logs.repartition(4 * cores).write.parquet(f"{path}/input")
+    return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", cores).parquet(f"{path}/input")
+
+
 def _finish(handle) -> None:
     handle.awaitTermination()
 
@@ -63,9 +75,16 @@ def stream_metrics(spark, sf_dir):
 @query("stream_dedup", over_norm("SELECT DISTINCT request_log_id FROM norm"))
 def stream_dedup(spark, sf_dir):
     path = scratch_path(spark, "stream-dedup")
-    unique = gs.deduplicate(access_log_stream(spark, sf_dir, "delivered_log"), delay="60 days")
-    handle = unique.writeStream.format("parquet").option("path", f"{path}/table").option(
-        "checkpointLocation", f"{path}/checkpoint"
-    ).trigger(availableNow=True).start()
-    _finish(handle)
-    return normalize_requests(spark.read.parquet(f"{path}/table"), ["request_log_id"]).select("request_log_id")
+    _finish(gs.stream_unique(_in_batches(spark, sf_dir, "delivered_log", path), path, f"{path}/checkpoint"))
+    return normalize_requests(gs.read_unique(spark, path), ["request_log_id"]).select("request_log_id")
+
+
+@query("stream_graph", CHECKS["graph_statistics"])
+def stream_graph(spark, sf_dir):
+    """Nodes per label and relationships of the graph that a stream of several batches builds."""
+    path = scratch_path(spark, "stream-graph")
+    _finish(gs.stream_graph(_in_batches(spark, sf_dir, "access_log", path), path, f"{path}/checkpoint"))
+    tables = {label: gs.read_fold(spark, label, f"{path}/nodes/{label}") for label in NODE_FOLDS}
+    tables["Relationships"] = gs.read_edges(spark, f"{path}/edges")
+    counts = [t.groupBy(F.lit(name).alias("name")).agg(F.count("*").alias("count")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)

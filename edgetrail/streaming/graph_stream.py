@@ -17,7 +17,7 @@ from ..operators.edges import belongs_edges, belongs_merge, belongs_partial, bel
 from ..operators.folds import Fold
 from ..operators.graph_rows import graph_rows
 from ..operators.nodes import NODE_FOLDS, NODE_INPUTS
-from ..operators.normalize import normalize_requests
+from ..operators.normalize import normalize_requests, quarantine
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -40,15 +40,51 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def deduplicate(logs: DataFrame, delay: str = "10 minutes", raw: str = "raw") -> DataFrame:
-    """Raw records of which each request id passes once while within ``delay`` of the newest.
+def stream_unique(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Raw records once per request id, and the records that cannot be read.
 
-    Records without an id pass on their own text.
+    Each batch writes its records, one per id, and its quarantine; ``read_unique`` removes the
+    repeats of other batches.  Without a watermark no late or untimed record is lost, and no
+    state grows.  Records without an id are known by their own text.
     """
-    requests = normalize_requests(logs.withColumn("_text", F.col(raw)), ["request_log_id"], raw)
-    key = F.when(F.col("request_log_id").isin("", "-"), F.col("_text")).otherwise(F.col("request_log_id"))
-    unique = requests.withColumn("_key", key).withWatermark("fold_ts", delay).dropDuplicatesWithinWatermark(["_key"])
-    return unique.select(F.col("_text").alias(raw), "arrival")
+
+    def write(df: DataFrame, batch: int) -> None:
+        requests = normalize_requests(df.withColumn("_text", F.col("raw")), ["request_log_id"])
+        key = F.when(F.col("request_log_id").isin("", "-"), F.col("_text")).otherwise(F.col("request_log_id"))
+        first = F.min(F.struct("arrival", F.col("_text").alias("raw")))
+        _write_batch(requests.groupBy(key.alias("key")).agg(first.alias("kept")), f"{path}/rows", batch)
+        _write_batch(quarantine(df), f"{path}/quarantine", batch)
+
+    return _start(logs, write, checkpoint, every)
+
+
+def read_unique(spark: SparkSession, path: str) -> DataFrame:
+    """``raw`` and ``arrival`` of the first record of each id, over all batches."""
+    first = F.min(F.struct("batch_id", "kept")).alias("first")
+    kept = read_batches(spark, f"{path}/rows").groupBy("key").agg(first)
+    return kept.select("first.kept.raw", "first.kept.arrival")
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, f"{path}/quarantine")
+
+
+def stream_graph(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """All node tables, the edges and the quarantine of a stream, from one set of graph rows per batch.
+
+    The rows of a batch are written once, read by every fold, and replaced by those of the next.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        _write_batch(quarantine(df), f"{path}/quarantine", batch)
+        graph_rows(df).write.mode("overwrite").parquet(f"{path}/rows")
+        rows = df.sparkSession.read.parquet(f"{path}/rows")
+        for label, fold in NODE_FOLDS.items():
+            _write_batch(fold.partial(rows), f"{path}/nodes/{label}", batch)
+        _write_batch(pair_edges(rows), f"{path}/edges/pairs", batch)
+        _write_batch(belongs_partial(rows), f"{path}/edges/segments", batch)
+
+    return _start(logs, write, checkpoint, every)
 
 
 def stream_fold(

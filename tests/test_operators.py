@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from edgetrail.operators import accounts, blocklist, joins, quality, reports, tokens
+from edgetrail.operators import accounts, blocklist, correlation, joins, quality, reports, tokens
 
 
 @pytest.mark.parametrize("secret", ["k", "x" * 100])
@@ -86,3 +86,44 @@ def test_manifest_rules(spark):
     bad = ("short", 2, None, "B1", "M6", -1, None, [], None, -1, -1)
     rows = quality.check_manifest(spark.createDataFrame([good, bad], schema)).collect()
     assert {r["run_id"] for r in rows} == {"short"} and len(rows) == 11
+
+
+def _largest_output(df):
+    """The most rows that any operator of the finished plan put out."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_fanout_of_a_run_with_many_tokens_and_addresses_makes_no_product(spark):
+    n = 2000
+    rows = spark.range(n).selectExpr(
+        "'run' AS viewing_session_id", "concat('t', id) AS cdn_token_id", "'-' AS account_id", "'c' AS content_id",
+        "concat('a', id) AS client_ip", "'r' AS referrer_domain",
+    )
+    counts = reports.token_fanout(rows)
+    assert _largest_output(counts) <= 10 * n
+    assert counts.where(f"ip_count = {n} AND referrer_count = 1 AND content_count = 1 AND account_count = 0").count() == n
+
+
+def test_a_referrer_of_everyone_makes_no_address_pairs(spark):
+    n = 500
+    rows = spark.range(n).selectExpr(
+        "concat('a', id) AS client_ip", "concat('t', greatest(id, 1)) AS cdn_token_id", "'r' AS referrer_domain",
+        "TIMESTAMP '2024-01-01 00:00:00' AS fold_ts",
+    )
+    found = correlation.ip_correlation(rows, rows.select(rows.client_ip.alias("ip")))
+    assert _largest_output(found) <= 10 * n
+    pairs = [(r["ip1"], r["ip2"], r["shared_tokens"], r["shared_referers"], r["score"]) for r in found.orderBy("ip1").collect()]
+    assert pairs == [("a0", "a1", 1, 1, 1.0), ("a1", "a0", 1, 1, 1.0)]

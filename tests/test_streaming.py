@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from edgetrail.operators.edges import EDGE_INPUTS, edges_unified
 from edgetrail.operators.graph_rows import graph_rows
-from edgetrail.operators.nodes import nodes
+from edgetrail.operators.nodes import NODE_FOLDS, nodes
 from edgetrail.operators.normalize import normalize_requests
 from edgetrail.sources.logs import read_access_log, read_index, stream_access_log
 from edgetrail.streaming import graph_stream as gs
@@ -74,12 +74,27 @@ def test_duplicates_and_late_rows(spark, tmp_path):
     assert progress == {0: (5, 0), 1: (2, 2)}
     assert gs.read_metrics(spark, out).agg(F.sum("requests")).first()[0] == 7
 
-    unique = gs.deduplicate(stream_access_log(spark, path, 10), "3 hours")
-    query = unique.writeStream.format("parquet").option("path", str(tmp_path / "u")).option(
-        "checkpointLocation", str(tmp_path / "uc")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    ids = normalize_requests(spark.read.parquet(str(tmp_path / "u")), ["request_log_id"]).collect()
-    assert sorted(r["request_log_id"] for r in ids) == ["1", "2", "3", "late"]
+    write(tmp_path / "in", "c.log", [{"request_id": "untimed", "request_uri": "/x"}, rows[0]])
+    (tmp_path / "in" / "d.log").write_text("{broken\n")
+    out = str(tmp_path / "u")
+    gs.stream_unique(stream_access_log(spark, path, 1), out, f"{out}/c").awaitTermination()
+    ids = normalize_requests(gs.read_unique(spark, out), ["request_log_id"]).collect()
+    assert sorted(r["request_log_id"] for r in ids) == ["1", "2", "3", "late", "untimed"]
+    assert [r["raw"] for r in gs.read_quarantine(spark, out).collect()] == ["{broken"]
+
+
+def test_whole_graph_in_one_stream(spark, tmp_path):
+    data = [{**r, "timestamp": f"2024-01-01T00:{i // 60:02d}:{i % 60:02d}Z"} for i, r in enumerate(records(60, 5))]
+    for i in range(3):
+        write(tmp_path / "in", f"{i}.log", data[i::3])
+    (tmp_path / "in" / "3.log").write_text("{broken\n")
+    path, out = str(tmp_path / "in"), str(tmp_path / "graph")
+    gs.stream_graph(stream_access_log(spark, path, 1), out, f"{out}/c").awaitTermination()
+    batch = graph_rows(read_access_log(spark, path))
+    assert same(edges_unified(batch), gs.read_edges(spark, f"{out}/edges"))
+    for label in NODE_FOLDS:
+        assert same(nodes(batch, label), gs.read_fold(spark, label, f"{out}/nodes/{label}")), label
+    assert gs.read_quarantine(spark, out).count() == 1
 
 
 def test_watermarked_windows_and_session_totals(spark, tmp_path):
