@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from edgetrail.llm.bpe import Encoder, once, tokenizer_text
 from edgetrail.llm.common import batches, rows_of, written
 
-SHARD_TAILS = 512
+SHARD_TAILS = 1024
+COMPACT = 0.75  # postings of used tails are dropped when this share of those held is left
 K1, B = 1.2, 0.75
 END_ID = 0
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -184,16 +185,27 @@ class Postings:
         self.ends = np.append(self.starts[1:], len(pairs))
         self.place = np.full(len(idf), -1)
         self.place[terms] = np.arange(len(terms))
+        self.held = self.size
 
     def best(self, query: np.ndarray, unused: np.ndarray):
         """The unused tails, best first; ties, and tails without a common term, in order of the shard."""
         if not self.size or not unused.any():
             return
+        left = np.flatnonzero(unused)
+        if len(left) < COMPACT * self.held:
+            self._drop_used(unused)
+            self.held = len(left)
         query = np.unique(query)
         at = self.place[query[query < len(self.place)]]
-        at = at[at >= 0]
-        spans = self.ends[at] - self.starts[at]
-        where = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum()) if len(at) else at
-        scores = np.bincount(self.tail[where], self.weight[where], self.size)
-        left = np.flatnonzero(unused)
+        spans = list(zip(self.starts[at[at >= 0]].tolist(), self.ends[at[at >= 0]].tolist(), strict=True))
+        scores = np.zeros(self.size)
+        if spans:
+            scores = np.bincount(np.concatenate([self.tail[i:j] for i, j in spans]), np.concatenate([self.weight[i:j] for i, j in spans]), self.size)
         yield from left[np.argsort(-scores[left], kind="stable")].tolist()
+
+    def _drop_used(self, unused: np.ndarray) -> None:
+        """Without the postings of used tails, which no later query may return; scores of the others stay the same."""
+        keep = unused[self.tail]
+        moved = np.concatenate([[0], np.cumsum(keep)])
+        self.tail, self.weight = self.tail[keep], self.weight[keep]
+        self.starts, self.ends = moved[self.starts], moved[self.ends]

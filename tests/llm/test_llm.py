@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import connect, difference
@@ -108,6 +110,30 @@ def test_packing_takes_alike_neighbours():
     assert list(index.best(np.array([0], "<u4"), unused)) == [1, 2, 3]
 
 
+def test_packing_searches_a_whole_shard(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rnd = np.random.default_rng(4)
+    tails = [rnd.integers(0, 500, 30).astype("<u4") for _ in range(1024)]
+    tails[0], tails[900] = np.array([600, 601, 602], "<u4"), np.array([600, 601, 603], "<u4")  # over 512 rows apart
+    columns = {"doc_id": range(1024), "n": [len(t) for t in tails], "tail": [t.tobytes() for t in tails]}
+    index = SimpleNamespace(value=(np.ones(1000), 30.0))
+    rows = [r for b in packing._packer(index, 64)(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+    first = sorted((r["offset"], r["doc_id"]) for r in rows if r["sequence_id"] == 1)
+    assert [d for _, d in first[:2]] == [0, 900]
+
+
+def test_packing_drops_used_postings_without_changing_scores():
+    rnd = np.random.default_rng(6)
+    tails = [rnd.integers(0, 200, rnd.integers(1, 60)).astype("<u4") for _ in range(300)]
+    lists, whole = (packing.Postings(tails, np.linspace(0.1, 2, 200), 30.0) for _ in range(2))
+    unused = np.ones(300, bool)
+    for i in rnd.permutation(300)[:290]:
+        unused[i] = False
+        whole.held = 0  # never drops
+        assert list(lists.best(tails[i], unused)) == list(whole.best(tails[i], unused))
+    assert len(lists.tail) < len(whole.tail) / 4
+
+
 def test_packing_query(spark, library):
     rows = queries.op1_packing(spark, SF_DIR).collect()
     texts = {r["doc_id"]: np.array([*ids_of(library, r["text"]), 0], "<u4") for r in pq.read_table(f"{SF_DIR}/documents.parquet").to_pylist()}
