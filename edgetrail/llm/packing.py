@@ -1,8 +1,9 @@
 """Lexical retrieval packing: a sharded BM25 index returns unused neighbours that fill each seed's window.
 
-Terms are token ids, so document frequencies are a vector of the vocabulary's size, counted over all documents.
-Every document first fills whole windows of its own. What is left of it, shorter than a window, goes to a shard:
-tails are range-partitioned by a min-hash of their terms (doc_id breaks ties, so copies spread), and each run of
+Terms are token ids, so document frequencies are a vector of the vocabulary's size, counted over all ids of all documents.
+Every document first fills whole windows of its own. What is left of it, shorter than a window, goes to a shard with
+the terms of the whole document, by which it seeks and is found:
+tails are range-partitioned by a min-hash of those terms (doc_id breaks ties, so copies spread), and each run of
 SHARD_TAILS rows is one shard with its own inverted index. A window starts with the next unused tail, asks the index
 for its best unused neighbours and takes them until it is full; the last one is cut and its rest is the next seed.
 The open window of a shard goes on in the next shard, and the open window of a partition is cut into sequences
@@ -28,7 +29,7 @@ PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("tail", pa.binary()), ("sketch", pa.int64())])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("tail", pa.binary()), ("terms", pa.binary()), ("times", pa.binary()), ("sketch", pa.int64())])
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024) -> DataFrame:
@@ -41,9 +42,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024) ->
     sc = docs.sparkSession.sparkContext
     text = tokenizer_text(tokenizer_path)
     vocabulary = sc.broadcast(text)
-    tokens = written(docs.select("doc_id", "text").mapInArrow(_tokenize(vocabulary, window), "doc_id long, n long, body binary, tail binary, sketch long"), "tokens")
-    tails = tokens.where(F.length("tail") > 0).select("doc_id", "n", "tail", "sketch")
-    counts = tails.select("tail").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    tokens = written(docs.select("doc_id", "text").mapInArrow(_tokenize(vocabulary, window), "doc_id long, n long, body binary, tail binary, terms binary, times binary, sketch long"), "tokens")
+    tails = tokens.where(F.length("tail") > 0).select("doc_id", "n", "tail", "terms", "times", "sketch")
+    counts = tokens.select("n", "terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     # At most one row per id of the vocabulary, and two for totals.
     total = {r.term: r.n for r in counts if r.term < 0}
     frequency = np.zeros(1 + max((r.term for r in counts), default=0))
@@ -58,7 +59,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024) ->
         "doc_id", "start", F.expr(f"substring(body, CAST(start * 4 + 1 AS INT), {window * 4})").alias("ids"), F.col("n").alias("doc_tokens"),
         (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    packed = tails.repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id", "n", "tail").mapInArrow(_packer(index, window), PIECES)
+    packed = tails.repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id", "n", "tail", "terms", "times").mapInArrow(_packer(index, window), PIECES)
     return bodies.unionByName(packed)
 
 
@@ -73,9 +74,9 @@ def _tokenize(vocabulary, window: int):
                 ids = (encoder.ids(text) if text else b"") + end
                 n = len(ids) // 4
                 cut = (n - n % window) * 4
-                tail = np.frombuffer(ids, "<u4", offset=cut)
-                sketch = int(shuffled[tail & 0xFFFFF].min()) if len(tail) else 0
-                yield doc_id, n, ids[:cut], ids[cut:], sketch
+                terms, times = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
+                sketch = int(shuffled[terms & 0xFFFFF].min())
+                yield doc_id, n, ids[:cut], ids[cut:], terms.tobytes(), times.astype("<u4").tobytes(), sketch
 
         yield from batches(rows(), _TOKENS, 256)
 
@@ -83,14 +84,14 @@ def _tokenize(vocabulary, window: int):
 
 
 def _frequencies(parts):
-    """Per task: how many tails hold each id; under -1 the number of tails, under -2 that of their ids."""
+    """Per task: how many documents hold each id; under -1 the number of documents, under -2 that of their ids."""
     seen, n, length = np.zeros(0, np.int64), 0, 0
-    for (tail,) in rows_of(parts, "tail"):
-        terms = np.unique(np.frombuffer(tail, "<u4"))
+    for size, held in rows_of(parts, "n", "terms"):
+        terms = np.frombuffer(held, "<u4")
         if terms[-1] >= len(seen):
             seen = np.concatenate([seen, np.zeros(int(terms[-1]) + 1 - len(seen), np.int64)])
         seen[terms] += 1
-        n, length = n + 1, length + len(tail) // 4
+        n, length = n + 1, length + size
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]), pa.int64()), pa.array(np.concatenate([seen[at], [n, length]]), pa.int64())], names=["term", "n"])
 
@@ -99,27 +100,27 @@ def _packer(index, window: int):
     def pack(parts):
         idf, mean = index.value
         base, seq, space = TaskContext.get().partitionId() << 32, 0, window
-        opened: list[tuple] = []  # pieces of the open window: doc_id, start, ids, doc_tokens
+        opened: list[tuple] = []  # pieces of the open window: doc_id, start, ids, doc_tokens, terms, times
         rest: tuple | None = None  # what is left of the document that was cut last
 
         def closed():
             nonlocal seq, opened, space
             offset = 0
-            for doc_id, start, ids, n in opened:
+            for doc_id, start, ids, n, *_ in opened:
                 yield doc_id, start, ids.tobytes(), n, (base + seq) * 2 + 1, offset
                 offset += len(ids)
             seq, opened, space = seq + 1, [], window
 
         def put(piece: tuple) -> None:
             nonlocal rest, space
-            doc_id, start, ids, n = piece
-            opened.append((doc_id, start, ids[:space], n))
-            rest = (doc_id, start + space, ids[space:], n) if len(ids) > space else None
+            doc_id, start, ids, *more = piece
+            opened.append((doc_id, start, ids[:space], *more))
+            rest = (doc_id, start + space, ids[space:], *more) if len(ids) > space else None
             space -= min(space, len(ids))
 
         def shard(tails: list[tuple]):
             nonlocal rest
-            lists = Postings([t[2] for t in tails], idf, mean)
+            lists = Postings([t[4] for t in tails], idf, mean, [t[5] for t in tails])
             unused, at = np.ones(len(tails), bool), 0
             while True:
                 if rest:
@@ -131,7 +132,7 @@ def _packer(index, window: int):
                     unused[at] = False
                     put(tails[at])
                 if space:
-                    for i in lists.best(np.concatenate([p[2] for p in opened]), unused):
+                    for i in lists.best(np.concatenate([p[4] for p in opened]), unused):
                         unused[i] = False
                         put(tails[i])
                         if not space:
@@ -143,9 +144,9 @@ def _packer(index, window: int):
         def rows():
             nonlocal opened, seq
             held: list[tuple] = []
-            for doc_id, n, tail in rows_of(parts, "doc_id", "n", "tail"):
+            for doc_id, n, tail, terms, times in rows_of(parts, "doc_id", "n", "tail", "terms", "times"):
                 ids = np.frombuffer(tail, "<u4")
-                held.append((doc_id, n - len(ids), ids, n))
+                held.append((doc_id, n - len(ids), ids, n, np.frombuffer(terms, "<u4"), np.frombuffer(times, "<u4")))
                 if len(held) == SHARD_TAILS:
                     yield from shard(held)
                     held = []
@@ -157,10 +158,10 @@ def _packer(index, window: int):
                     power //= 2
                 take, opened = power, []
                 while take:
-                    doc_id, start, ids, n = left.pop(0)
-                    opened.append((doc_id, start, ids[:take], n))
+                    doc_id, start, ids, *more = left.pop(0)
+                    opened.append((doc_id, start, ids[:take], *more))
                     if len(ids) > take:
-                        left.insert(0, (doc_id, start + take, ids[take:], n))
+                        left.insert(0, (doc_id, start + take, ids[take:], *more))
                     take -= min(take, len(ids))
                 yield from closed()
 
@@ -170,15 +171,22 @@ def _packer(index, window: int):
 
 
 class Postings:
-    """An inverted index of one shard: for each term the tails that hold it, with their BM25 weights."""
+    """An inverted index of one shard: for each term the tails whose documents hold it, with their BM25 weights.
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
+    tails has the ids of each document and times how often each counts, once if not given.
+    """
+
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float, times: list[np.ndarray] | None = None):
         self.size = len(tails)
         if not tails:
             return
-        lengths = np.array([len(t) for t in tails])
-        key = np.repeat(np.arange(len(tails), dtype=np.int64), lengths) + np.concatenate(tails).astype(np.int64) * len(tails)
-        pairs, tf = np.unique(key, return_counts=True)  # ordered by term, then tail
+        times = times or [np.ones(len(t), np.int64) for t in tails]
+        lengths = np.array([t.sum() for t in times], np.int64)
+        key = np.repeat(np.arange(len(tails), dtype=np.int64), [len(t) for t in tails]) + np.concatenate(tails).astype(np.int64) * len(tails)
+        order = np.argsort(key)  # by term, then tail
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        pairs, tf = key[first], np.add.reduceat(np.concatenate(times).astype(np.int64)[order], first)
         terms, self.tail = pairs // len(tails), pairs % len(tails)
         self.weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.tail] / mean))
         terms, self.starts = np.unique(terms, return_index=True)

@@ -116,12 +116,32 @@ def test_packing_searches_a_whole_shard(monkeypatch):
     tails = [rnd.integers(0, 500, 30).astype("<u4") for _ in range(1024)]
     tails[0], tails[900] = np.array([600, 601, 602], "<u4"), np.array([600, 601, 603], "<u4")  # over 512 rows apart
     columns = {"doc_id": range(1024), "n": [len(t) for t in tails], "tail": [t.tobytes() for t in tails]}
+    bags = [np.unique(t, return_counts=True) for t in tails]
+    columns |= {"terms": [t.tobytes() for t, _ in bags], "times": [n.astype("<u4").tobytes() for _, n in bags]}
     index = SimpleNamespace(value=(np.ones(1000), 30.0))
     rows = [r for b in packing._packer(index, 64)(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
     first = sorted((r["offset"], r["doc_id"]) for r in rows if r["sequence_id"] == 1)
     assert [d for _, d in first[:2]] == [0, 900]
 
 
+def test_packing_describes_whole_documents(library):
+    """Frequencies and terms count the ids of bodies too, so documents with alike bodies and unlike tails are neighbours."""
+    same = " ".join(["river", "stone"] * 40)
+    texts = [same + " alpha beta gamma", "cat dog cat cow cat", same + " one two three", "cat dog pig dog cow"]
+    parts = [pa.RecordBatch.from_pydict({"doc_id": range(4), "text": texts})]
+    rows = [r for b in packing._tokenize(SimpleNamespace(value=tokenizer_text(PATH)), 16)(iter(parts)) for r in b.to_pylist()]
+    full = [[*ids_of(library, t), 0] for t in texts]
+    for r, ids in zip(rows, full, strict=True):
+        assert dict(zip(np.frombuffer(r["terms"], "<u4").tolist(), np.frombuffer(r["times"], "<u4").tolist(), strict=True)) == {i: ids.count(i) for i in ids}
+    river = ids_of(library, " river")[0]
+    (found,) = packing._frequencies([pa.RecordBatch.from_pylist(rows)])
+    counts = dict(zip(*(c.to_pylist() for c in found.columns), strict=True))
+    assert counts[river] == 2 and counts[-1] == 4 and counts[-2] == sum(map(len, full))
+    bags = [(np.frombuffer(r["terms"], "<u4"), np.frombuffer(r["times"], "<u4")) for r in rows]
+    index = packing.Postings([t for t, _ in bags], np.ones(60_000), 10.0, [n for _, n in bags])
+    assert next(index.best(bags[0][0], np.array([False, True, True, True]))) == 2
+
+
 def test_packing_drops_used_postings_without_changing_scores():
     rnd = np.random.default_rng(6)
     tails = [rnd.integers(0, 200, rnd.integers(1, 60)).astype("<u4") for _ in range(300)]
