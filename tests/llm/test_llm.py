@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter as Counts
 from types import SimpleNamespace
 
 import numpy as np
@@ -331,6 +332,26 @@ def test_language_models(spark, docs, empty):
     assert lm_scoring.score_documents(docs, none).count() == docs.count() and lm_scoring.score_documents(empty, none).count() == 0
 
 
+def test_language_models_know_every_word(spark, monkeypatch):
+    """With more words than 32,768, a bigram of two rare words keeps its own counts, also over several blocks."""
+    ship(spark)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 100_000)
+    texts = [" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, 34_000, 1000)] * 2 + ["rare once", "odd thing"]
+    seen = [["<s>", *t.split()] for t in texts]
+    pairs, before, words = Counts(), Counts(), Counts()
+    for t in seen:
+        pairs.update(zip(t, t[1:], strict=False))
+        before.update(t[:-1])
+        words.update(t[1:])
+    n, v = words.total(), len(words) + 1
+    alone = lambda w: (words[w] + lm_scoring.MASS / v) / (n + lm_scoring.MASS)
+    want = [np.mean([-np.log(lm_scoring.MIX * pairs[p] / before[p[0]] + (1 - lm_scoring.MIX) * alone(p[1])) for p in zip(t, t[1:], strict=False)]) for t in seen]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(lm_scoring.score_documents(frame, frame.select("doc_id").where("doc_id >= 68")).collect())
+    assert np.allclose([r.loss_background for r in got], want, rtol=0, atol=1e-9)
+    assert all(r.score < 0 for r in got[68:]) and all(r.score > 0 for r in got[:68])
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/">menu</a></li></ul></nav><article><h1>Title
  here</h1><p><b>First &amp; second.<br><p>Third   one.</p><script>var a = "<p>no</p>";</script><div class="ad">buy</div></article><footer>&copy;</footer>"""
 
