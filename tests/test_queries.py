@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from edgetrail.plans import QUERIES
+from edgetrail.plans import QUERIES, inputs
 from compare import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -29,5 +29,15 @@ def test_query(spark, duck, name):
     assert problem is None
 
 
+@pytest.mark.parametrize("name", ["api_events", "favorite_actions", "user_actions", "token_payloads"])
+def test_inputs_cover_all_events(duck, name):
+    assert duck.sql(f"SELECT count(*) FROM ({inputs.SQL[name]})").fetchall() == duck.sql("SELECT count(*) FROM events").fetchall()
+
+
+def test_manifest_covers_all_users(duck):
+    got = duck.sql(f"SELECT count(*), count(DISTINCT string_split(run_id, '-')[2]) FROM ({inputs.SQL['run_manifest_text']})").fetchall()
+    assert got == duck.sql("SELECT count(DISTINCT (user_id, day(ts))), count(DISTINCT user_id) FROM events").fetchall()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
