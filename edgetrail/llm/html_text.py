@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from edgetrail.llm.common import batches, rows_of
 
-# Fixed values of HTML: elements without content, elements whose text is not markup, and block elements.
+# Fixed values of HTML: elements without content, elements whose text is not markup, elements whose content is not text
+# of the page, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object canvas".split())
+RAW = frozenset("script style textarea title iframe".split())
+DROPPED = frozenset("noscript template svg object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -63,14 +65,21 @@ class Node:
 
 def parse(page: str) -> list[Node]:
     """The block elements of a page in order, root first. Each node's items are its texts, (text, in a link) pairs,
-    and its child nodes. Elements that are never closed end with their parent."""
+    and its child nodes. Elements that are never closed end with their parent; blocks end an open svg."""
     root = Node("html", None, {})
     nodes, open_tags = [root], [("html", root)]  # (tag, block node it belongs to)
-    links, at, end = 0, 0, len(page)
+    links, hidden, at, end = 0, 0, 0, len(page)
+
+    def close_from(i: int) -> None:
+        nonlocal links, hidden
+        links -= sum(t == "a" for t, _ in open_tags[i:])
+        hidden -= sum(t in DROPPED for t, _ in open_tags[i:])
+        del open_tags[i:]
+
     while at < end:
         found = _TAG.search(page, at)
         text = page[at : found.start() if found else end]
-        if text:
+        if text and not hidden:
             open_tags[-1][1].items.append((entities.unescape(text), links > 0))
         if not found:
             break
@@ -83,32 +92,38 @@ def parse(page: str) -> list[Node]:
             at = stop.end() if stop else end
             continue
         if tag == "br" or tag in VOID:
-            open_tags[-1][1].items.append((" ", False))
+            if not hidden:
+                open_tags[-1][1].items.append((" ", False))
             continue
         if closing:
             places = [i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i][0] == tag]
             # An inline element's end does not close blocks.
-            if places and (tag in BLOCK or not any(t in BLOCK for t, _ in open_tags[places[0] + 1 :])):
-                links -= sum(t == "a" for t, _ in open_tags[places[0] :])
-                del open_tags[places[0] :]
+            if places and (tag in BLOCK or tag in DROPPED or not any(t in BLOCK for t, _ in open_tags[places[0] + 1 :])):
+                close_from(places[0])
             continue
         if tag in ("html", "body") and any(t == tag for t, _ in open_tags):
             continue
         if tag in BLOCK:
+            foreign = [i for i, (t, _) in enumerate(open_tags) if t in ("svg", "foreignobject")] if hidden else []
+            if foreign and open_tags[foreign[-1]][0] == "svg":
+                close_from(foreign[-1])
             shut = CLOSES.get(tag, set()) | ({"p"} if tag not in ("body", "head") else set())
             for i in range(len(open_tags) - 1, 0, -1):
                 if open_tags[i][0] in shut:
-                    links -= sum(t == "a" for t, _ in open_tags[i:])
-                    del open_tags[i:]
+                    close_from(i)
                     break
-                if open_tags[i][0] in SCOPES:
+                if open_tags[i][0] in SCOPES or open_tags[i][0] in DROPPED:
                     break
+            if hidden:
+                open_tags.append((tag, open_tags[-1][1]))
+                continue
             attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(found[3])}
             node = Node(tag, open_tags[-1][1], attributes)
             nodes.append(node)
             open_tags.append((tag, node))
-        elif not found[3].rstrip().endswith("/"):
+        elif not found[3].rstrip().endswith("/") or tag in DROPPED and tag != "svg":
             links += tag == "a"
+            hidden += tag in DROPPED
             open_tags.append((tag, open_tags[-1][1]))
     return nodes
 

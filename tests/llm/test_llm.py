@@ -370,6 +370,12 @@ def test_html(spark):
     assert html_text.extract(frame.limit(0), html_text.fit(frame.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<svg viewBox='0'/>", "<svg><path d='x'/>", "<svg><text>no</text></svg>", "<div><object>no</div>", "<div><canvas>no<p>no</div>", "<noscript><p>no</p></noscript>", "<p><template><p>no</template></p>"])
+def test_html_goes_on_after_dropped_elements(part):
+    nodes = html_text.parse(f"<article><p>one</p>{part}<p>two</p></article><p>three</p>")
+    assert html_text.main_text(nodes, [True] * len(nodes)) == "one\ntwo\nthree"
+
+
 def test_html_accuracy_on_held_out_variants(spark):
     pages = pq.read_table(f"{SF_DIR}/pages.parquet").column("html").to_pylist()
     model = html_text.fit(ship(spark).read.parquet(f"{SF_DIR}/pages.parquet").limit(25), 25)
