@@ -51,13 +51,14 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "role", "parent", "children", "items", "truth")
+    __slots__ = ("tag", "tokens", "role", "parent", "children", "items", "truth", "position")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.children, self.items = tag, parent, [], []
         named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label"))
         self.tokens = {x.lower() for x in _PARTS.findall(named)}
         self.truth = attributes.get("data-truth")
+        self.position = len(parent.children) if parent is not None else 0  # among its siblings
         if parent is not None:
             parent.children.append(self)
             parent.items.append(self)
@@ -160,11 +161,10 @@ def features(nodes: list[Node]) -> np.ndarray:
         marks[i] = (1 if good or good_tag else above[0]), (1 if other or other_tag else above[1])
         depth = out[parent[i], -1] + 1 if i else 0
         brothers = x.parent.children if x.parent else [x]
-        at = brothers.index(x) if len(brothers) < 64 else 32
         rest = (
             good, other, *above, np.log1p(own[i, 0]), np.log1p(whole[i, 0]), whole[i, 0] / page, whole[i, 1] / max(1.0, whole[i, 0]),
             whole[i, 0] / whole[i, 4], whole[i, 2] / max(1.0, whole[i, 3]), whole[i, 3] / whole[i, 4], whole[i, 5], whole[i, 4], len(x.children),
-            at / len(brothers), len(brothers), whole[i, 0] / max(1.0, whole[parent[i], 0]) if i else 1, whole[i, 5] / whole[i, 4], depth,
+            x.position / len(brothers), len(brothers), whole[i, 0] / max(1.0, whole[parent[i], 0]) if i else 1, whole[i, 5] / whole[i, 4], depth,
         )
         out[i, len(TAGS) :] = rest
     return out

@@ -376,6 +376,12 @@ def test_html_goes_on_after_dropped_elements(part):
     assert html_text.main_text(nodes, [True] * len(nodes)) == "one\ntwo\nthree"
 
 
+def test_html_place_among_many_siblings():
+    nodes = html_text.parse("<ul>" + "<li>x</li>" * 100 + "</ul>")
+    places = html_text.features(nodes)[2:, len(html_text.TAGS) + 14]
+    assert np.allclose(places, np.arange(100) / 100)
+
+
 def test_html_accuracy_on_held_out_variants(spark):
     pages = pq.read_table(f"{SF_DIR}/pages.parquet").column("html").to_pylist()
     model = html_text.fit(ship(spark).read.parquet(f"{SF_DIR}/pages.parquet").limit(25), 25)
