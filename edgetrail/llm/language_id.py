@@ -7,6 +7,8 @@ Texts are scored in numpy: each n-gram of a text picks its row of the matrix, an
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +19,8 @@ from edgetrail.llm.common import batches, rows_of
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
-# The model may be fitted on a sample: at most about this many labelled rows, chosen by a hash of doc_id.
+# The model may be fitted on a sample of about this many labelled rows, chosen by a hash within each language. A language
+# gives as many as its share, but its part of MAX_LANGUAGES at least, or all it has, so the sample is at most twice this.
 MAX_TRAINING_ROWS = 20_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -60,14 +63,16 @@ def segments(codes: np.ndarray):
 def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
     """The languages, and their log probabilities by bucket with a last row of zeros, from (doc_id, text, lang)."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
     seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(seen) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     names = [r.lang for r in seen]
     place = {x: i for i, x in enumerate(names)}
+    n = sum(r.n for r in seen)
+    if n > max_rows:
+        shares = {r.lang: min(1.0, max(max_rows / n, max_rows / MAX_LANGUAGES / r.n)) for r in seen}
+        below = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, math.ceil(share * (1 << 20)))))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 20)) < below[F.col("lang")])
 
     def count(parts):
         totals = np.zeros((len(names), BUCKETS + 1), np.int64)

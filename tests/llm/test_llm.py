@@ -226,6 +226,14 @@ def test_language(spark, docs, empty):
     assert language_id.recognised(docs, *model).columns == docs.columns
 
 
+def test_language_learns_rare_languages(spark):
+    rows = [(i, f"common words here {i}", "en") for i in range(3000)] + [(3000, "öæå þðø ßœé", "xx"), (None, "жщы эюя", "yy")]
+    names, logs = language_id.fit(ship(spark).createDataFrame(rows, "doc_id long, text string, lang string"), 300)
+    assert names == ["en", "xx", "yy"]
+    asked = spark.createDataFrame([(1, "þðø œé"), (2, "жщы"), (3, "words here")], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.identify(asked, names, logs).orderBy("doc_id").collect()] == ["xx", "yy", "en"]
+
+
 def test_language_segments():
     text = "".join(random.Random(1).choices("abc dé", k=900_000))
     codes = language_id.letters(text)
