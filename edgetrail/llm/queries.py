@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetrail.llm import chat_format, checks, decontamination, html_text, language_id, lm_scoring, near_dedup, packing, rotated_codes, token_counts, warc
+from edgetrail.llm import chat_format, checks, decontamination, html_text, language_id, lm_scoring, near_dedup, packing, rotated_codes, text_fingerprint, token_alignment, token_counts, warc, whitening
 from edgetrail.llm.common import ship
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +72,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return token_alignment.score_links(found.withColumn("groups_sha256", digest).drop("groups"))
+
+
+def op12_text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
-    op1_packing, op2_lm_scoring, op3_chat_format, op4_language_id, op5_near_dedup, op6_html_text, op7_warc, op8_rotated_codes, op9_token_counts, op10_decontamination
+    op1_packing, op2_lm_scoring, op3_chat_format, op4_language_id, op5_near_dedup, op6_html_text, op7_warc, op8_rotated_codes, op9_token_counts, op10_decontamination,
+    op11_token_alignment, op12_text_fingerprint, op13_whitening,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 CHECKS = checks.CHECKS
