@@ -38,8 +38,8 @@ class Fold:
     first_order_of: dict[str, str] = field(default_factory=dict)
     finish: dict[str, str] = field(default_factory=dict)
 
-    def partial(self, rows: DataFrame) -> DataFrame:
-        """One mergeable record per key of these rows."""
+    def partial(self, rows: DataFrame, *also: Column) -> DataFrame:
+        """One mergeable record per key of these rows; ``also`` are further grouping columns."""
         if self.where:
             rows = rows.where(self.where)
         rows = rows.withColumn(self.key, F.expr(self.source or self.key)).withColumn("_seq", _seq())
@@ -57,7 +57,7 @@ class Fold:
             aggs.append(F.min(F.when(F.expr(condition), F.col("_seq"))).alias(f"_order_{name}"))
         aggs += [F.sum(F.expr(e)).alias(f"_sum_{n}") for n, e in self.sums.items()]
         aggs += [F.max(F.expr(e)).alias(f"_max_{n}") for n, e in self.maxes.items()]
-        return rows.groupBy(self.key).agg(*aggs)
+        return rows.groupBy(self.key, *also).agg(*aggs)
 
     def merge(self, partials: DataFrame) -> DataFrame:
         """Combine partial records of several inputs."""
@@ -71,15 +71,15 @@ class Fold:
                 aggs.append(F.max(name).alias(name))
         return partials.groupBy(self.key).agg(*aggs)
 
-    def result(self, partials: DataFrame) -> DataFrame:
-        """The finished records."""
+    def result(self, partials: DataFrame, *also: str) -> DataFrame:
+        """The finished records, with further columns of the partial ones."""
         cols = [F.col(f"_first.{n}").alias(n) for n in self.first]
         cols += [F.col(f"_last.{n}").alias(n) for n in self.last]
         cols += [F.col(f"_known_{n}.v").alias(n) for n in self.last_known]
         cols += [F.col(f"_sum_{n}").alias(n) for n in self.sums]
         cols += [F.col(f"_max_{n}").alias(n) for n in self.maxes]
         cols += [F.col(f"_order_{n}") for n in self.first_order_of]
-        out = partials.select(self.key, *cols)
+        out = partials.select(self.key, *also, *cols)
         for name, expr in self.finish.items():
             out = out.withColumn(name, F.expr(expr))
         return out.drop(*[f"_order_{n}" for n in self.first_order_of])

@@ -131,6 +131,12 @@ def _closure(names: Iterable[str]) -> set[str]:
     return seen
 
 
+def request_columns(columns: Iterable[str] | None = None) -> list[str]:
+    """The normalized columns that graph rows with these columns are derived from."""
+    needed = _closure([*(ALL_COLUMNS if columns is None else columns), "status", "request_kind"])
+    return sorted(name[2:] for name in needed if name.startswith("n_"))
+
+
 def graph_rows(logs: DataFrame, columns: Iterable[str] | None = None, raw: str = "raw") -> DataFrame:
     """Requests with status 200-399 and a known kind, with ``fold_ts`` and the input columns.
 
@@ -138,10 +144,14 @@ def graph_rows(logs: DataFrame, columns: Iterable[str] | None = None, raw: str =
     """
     wanted = list(columns) if columns is not None else ALL_COLUMNS
     rest = [name for name in logs.columns if name != raw]
+    return rows_of_requests(normalize_requests(logs, request_columns(wanted), raw), rest, wanted)
+
+
+def rows_of_requests(requests: DataFrame, rest: list[str], columns: Iterable[str] | None = None) -> DataFrame:
+    """Graph rows from requests that are normalized already; ``rest`` are columns to keep."""
+    wanted = list(columns) if columns is not None else ALL_COLUMNS
     needed = _closure([*wanted, "status", "request_kind"])
-    normal = [name[2:] for name in needed if name.startswith("n_")]
-    rows = normalize_requests(logs, sorted(normal), raw)
-    rows = rows.select(*rest, "fold_ts", *[c(n).alias(f"n_{n}") for n in sorted(normal)])
+    rows = requests.select(*rest, "fold_ts", *[c(n).alias(f"n_{n}") for n in request_columns(wanted)])
     derived = sorted((n for n in needed if n in DERIVED), key=lambda n: (_level(n), n))
     for level in range(1, max(_level(n) for n in derived) + 1):
         rows = rows.withColumns({n: DERIVED[n][1]() for n in derived if _level(n) == level})

@@ -246,9 +246,20 @@ def normalize_requests(logs: DataFrame, columns: Iterable[str] | None = None, ra
     return rows.where(F.col("fold_ts").isNotNull())
 
 
+def classify_records(logs: DataFrame, columns: Iterable[str] | None = None, raw: str = "raw") -> DataFrame:
+    """Every record with its normalized columns, its text and ``reason``: NULL, or why it is left out.
+
+    One parse serves both what ``normalize_requests`` returns (no reason) and ``quarantine`` (the others).
+    """
+    columns = list(columns) if columns is not None else REQUEST_COLUMNS
+    rest = [c for c in logs.columns if c != raw]
+    step, exprs, fold_ts = _read(logs.withColumn("_text", F.col(raw)), columns, raw)
+    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed").when(fold_ts.isNull(), "bad_timestamp")
+    return step.select(
+        *rest, F.col("_text").alias(raw), reason.alias("reason"), fold_ts.alias("fold_ts"), *[e.alias(n) for n, e in exprs.items()]
+    )
+
+
 def quarantine(logs: DataFrame, raw: str = "raw") -> DataFrame:
     """The records ``normalize_requests`` leaves out, with the reason."""
-    text = F.col(raw)
-    step, _, fold_ts = _read(logs.withColumn("_text", text), [], raw)
-    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed").when(fold_ts.isNull(), "bad_timestamp")
-    return step.select(F.col("_text").alias(raw), reason.alias("reason")).where("reason IS NOT NULL")
+    return classify_records(logs, [], raw).where("reason IS NOT NULL").select(raw, "reason")

@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges, nodes
 from ..session import materialize
 
 
-def sink_partitioned(requests: DataFrame, path: str, time: str = "fold_ts") -> None:
-    """Append requests to folders by service and day, the layout reports prune by.
+COMMITTED = "_committed"
 
-    Rows go to tasks by service, day and a salt, so a service with most of the traffic is
-    written by many tasks, each holding few folders.
+
+def sink_partitioned(requests: DataFrame, path: str, time: str = "fold_ts", batch: int | str | None = None) -> None:
+    """Add requests to folders by service and day, the layout reports prune by.
+
+    ``rebalance`` deals rows to files of even size by what the shuffle measured, so a service with
+    most of the traffic is written by as many tasks as it needs.  With ``batch`` (letters, digits,
+    ``-`` or ``_``) a repeated batch leaves its rows once: its folder is replaced until its marker
+    exists, and afterwards nothing is written.  ``read_partitioned`` reads marked batches only.
     """
-    day = F.to_date(time)
-    salt = F.pmod(F.xxhash64(*requests.columns[:1], time), F.lit(64))
-    rows = requests.withColumns({"date": day, "_salt": salt})
-    rows.repartition("service", "date", "_salt").drop("_salt").write.mode("append").partitionBy("service", "date").parquet(path)
+    rows = requests.withColumn("date", F.to_date(time)).hint("rebalance", "service", "date")
+    if batch is None:
+        rows.write.mode("append").partitionBy("service", "date").parquet(path)
+        return
+    jvm = requests.sparkSession._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/{COMMITTED}/{batch}")
+    fs = marker.getFileSystem(requests.sparkSession._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        rows.write.mode("overwrite").partitionBy("service", "date").parquet(f"{path}/batch={batch}")
+        fs.mkdirs(marker.getParent())
+        fs.create(marker, True).close()
+
+
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of all committed batches, with ``batch``, ``service`` and ``date``; None if there are none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMMITTED}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in names]) if names else None
 
 
 def sink_graph(rows: DataFrame, path: str) -> dict[str, int]:

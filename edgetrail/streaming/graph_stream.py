@@ -15,9 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.edges import belongs_edges, belongs_merge, belongs_partial, belongs_result, pair_edges
 from ..operators.folds import Fold
-from ..operators.graph_rows import graph_rows
+from ..operators.graph_rows import graph_rows, request_columns, rows_of_requests
 from ..operators.nodes import NODE_FOLDS, NODE_INPUTS
-from ..operators.normalize import normalize_requests, quarantine
+from ..operators.normalize import classify_records, normalize_requests, quarantine
+from ..sources.sinks import sink_partitioned
+from .batch_store import BatchStore, store_table
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -37,7 +39,9 @@ def _write_batch(df: DataFrame, path: str, batch: int) -> None:
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Records of all batches: of a batch store's newest snapshot, or of plain folders by batch."""
+    stored = store_table(spark, path)
+    return spark.read.parquet(path) if stored is None else stored
 
 
 def stream_unique(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -70,23 +74,121 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_graph(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """All node tables, the edges and the quarantine of a stream, from one set of graph rows per batch.
+    """All node tables, the edges and the quarantine of a stream, from one parse per batch.
 
-    The rows of a batch are written once, read by every fold, and replaced by those of the next.
+    The records and the graph rows of a batch are written once, read by every fold, and replaced by
+    those of the next.  All tables are committed together as one snapshot of a batch store, which also merges older
+    batches as it goes; ``read_fold``, ``read_edges`` and ``read_quarantine`` read the newest one.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        _write_batch(quarantine(df), f"{path}/quarantine", batch)
-        graph_rows(df).write.mode("overwrite").parquet(f"{path}/rows")
-        rows = df.sparkSession.read.parquet(f"{path}/rows")
-        for label, fold in NODE_FOLDS.items():
-            _write_batch(fold.partial(rows), f"{path}/nodes/{label}", batch)
-        _write_batch(pair_edges(rows), f"{path}/edges/pairs", batch)
-        _write_batch(belongs_partial(rows), f"{path}/edges/segments", batch)
+        spark = df.sparkSession
+        store = BatchStore(spark, path)
+        if store.has(batch):
+            return
+        classify_records(df, request_columns()).write.mode("overwrite").parquet(f"{path}/records")
+        records = spark.read.parquet(f"{path}/records")
+        rows_of_requests(records.where("reason IS NULL"), ["arrival"]).write.mode("overwrite").parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
+        tables = {f"nodes/{label}": fold.partial(rows) for label, fold in NODE_FOLDS.items()}
+        merges = {f"nodes/{label}": fold.merge for label, fold in NODE_FOLDS.items()}
+        tables |= {"edges/pairs": pair_edges(rows), "edges/segments": belongs_partial(rows)}
+        merges |= {"edges/pairs": DataFrame.distinct, "edges/segments": belongs_merge}
+        store.commit(batch, tables | {"quarantine": records.where("reason IS NOT NULL").select("raw", "reason")}, merges)
 
     return _start(logs, write, checkpoint, every)
 
 
+def _newest_by_source(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source").agg(F.max("newest").alias("newest"))
+
+
+def split_batch(df: DataFrame, batch: int, path: str, delay: str = "10 minutes", source: str = "edge_server") -> bool:
+    """Sort one batch of raw records into rows, late rows and quarantine; False if that was done before.
+
+    A row is late if it is older than the newest time its source had sent in earlier batches by
+    more than ``delay``.  Each source has its own mark, so a slow edge is not late because others
+    are ahead; the marks are one record per source.  Every record lands in exactly one table.
+    """
+    spark = df.sparkSession
+    store = BatchStore(spark, path)
+    if store.has(batch):
+        return False
+    records = classify_records(df, list(dict.fromkeys([source, "request_log_id"])))
+    records.withColumn("source", F.col(source)).write.mode("overwrite").parquet(f"{path}/records")
+    records = spark.read.parquet(f"{path}/records")
+    readable = records.where("reason IS NULL").drop("reason")
+    marks = store.read("marks")
+    if marks is None:
+        rows, late = readable, readable.where("false")
+    else:
+        known = _newest_by_source(marks).select("source", F.col("newest").alias("_newest"))
+        marked = readable.join(known, "source", "left")
+        is_late = F.coalesce(F.col("fold_ts") < F.col("_newest") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        rows, late = (marked.where(w).select(*readable.columns) for w in (~is_late, is_late))
+    tables = {
+        "rows": rows,
+        "late": late,
+        "quarantine": records.where("reason IS NOT NULL").select("raw", "reason"),
+        "marks": readable.groupBy("source").agg(F.max("fold_ts").alias("newest")),
+    }
+    return store.commit(batch, tables, {"marks": _newest_by_source})
+
+
+def stream_split(
+    logs: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", source: str = "edge_server", every: str | None = None
+) -> StreamingQuery:
+    """``split_batch`` on every batch: tables ``rows``, ``late`` and ``quarantine`` in one store.
+
+    The store's snapshots are the ledger of processed batches: a batch that is delivered again after
+    a failure changes nothing, and readers see the three tables as of the same batch.
+    """
+    return _start(logs, lambda df, batch: split_batch(df, batch, path, delay, source), checkpoint, every)
+
+
+def stream_partitioned(logs: DataFrame, path: str, checkpoint: str, columns: Sequence[str] | None = None, every: str | None = None) -> StreamingQuery:
+    """Normalized requests of a stream in folders by service and day, each batch once."""
+    requests = normalize_requests(logs, list(dict.fromkeys([*columns, "service"])) if columns else None)
+    return _start(requests, lambda df, batch: sink_partitioned(df, path, batch=batch), checkpoint, every)
+
+
+VISIT = NODE_FOLDS["ViewingSession"]
+
+
+def visits(logs: DataFrame, idle: str = "30 minutes") -> DataFrame:
+    """Viewing sessions cut where nothing was requested for ``idle``: one record per visit.
+
+    For a batch of logs, or for a stream whose rows carry a watermark (``closed_visits``).
+    """
+    return _visits(graph_rows(logs, NODE_INPUTS["ViewingSession"]), idle)
+
+
+def _visits(rows: DataFrame, idle: str) -> DataFrame:
+    cut = VISIT.partial(rows, F.session_window("fold_ts", idle).alias("visit"))
+    return VISIT.result(cut.withColumn("closes_at", F.col("visit.end")), "closes_at")
+
+
+def closed_visits(logs: DataFrame, idle: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Each visit of a stream once, when it is over (append mode).
+
+    The state holds the open visits as merged aggregates, not their rows.  A visit is over when the
+    stream's newest time lies ``delay`` behind its end.  Rows later than that are not in any visit;
+    ``stream_split`` keeps such rows in a table of their own.
+    """
+    return _visits(graph_rows(logs, NODE_INPUTS["ViewingSession"]).withWatermark("fold_ts", delay), idle)
+
+
+def stream_closed_visits(
+    logs: DataFrame, path: str, checkpoint: str, idle: str = "30 minutes", delay: str = "10 minutes", every: str | None = None
+) -> StreamingQuery:
+    """``closed_visits`` into the table ``visits`` of a batch store, so a repeated batch adds nothing."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        BatchStore(df.sparkSession, path).commit(batch, {"visits": df})
+
+    return _start(closed_visits(logs, idle, delay), write, checkpoint, every)
+
+
 def stream_fold(
     logs: DataFrame, label: str, path: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
@@ -154,18 +256,16 @@ def stream_metrics(
         _write_batch(counts.select(F.col("w.start").alias("window_start"), "requests", "bytes", "errors", "hits"), f"{path}/windows", batch)
         newest = _newest_before(spark, f"{path}/progress", batch)
         late = F.count_if(F.col("event_ts") < F.lit(newest) - F.expr(f"INTERVAL {delay}")) if newest else F.lit(0)
-        progress = df.agg(F.max("event_ts").alias("newest"), F.count("*").alias("rows"), late.cast("bigint").alias("late_rows"))
+        so_far = F.greatest(F.max("event_ts"), F.lit(newest).cast("timestamp")).alias("newest_so_far")
+        progress = df.agg(F.max("event_ts").alias("newest"), F.count("*").alias("rows"), late.cast("bigint").alias("late_rows"), so_far)
         _write_batch(progress, f"{path}/progress", batch)
 
     return _start(requests, write, checkpoint, every)
 
 
 def _newest_before(spark: SparkSession, path: str, batch: int):
-    """Newest time noted by earlier batches, one row per batch; NULL for the first batch."""
-    if batch == 0:
-        return None
-    earlier = read_batches(spark, path).where(F.col("batch_id") < batch)
-    return earlier.agg(F.max("newest")).first()[0]
+    """Newest time of all earlier batches, which the batch before noted; NULL for the first batch."""
+    return spark.read.parquet(f"{path}/batch_id={batch - 1}").first()["newest_so_far"] if batch else None
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

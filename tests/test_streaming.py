@@ -12,6 +12,7 @@ from edgetrail.operators.nodes import NODE_FOLDS, nodes
 from edgetrail.operators.normalize import normalize_requests
 from edgetrail.sources.logs import read_access_log, read_index, stream_access_log
 from edgetrail.streaming import graph_stream as gs
+from edgetrail.streaming.batch_store import BatchStore
 from test_folds import records
 
 
@@ -95,6 +96,8 @@ def test_whole_graph_in_one_stream(spark, tmp_path):
     for label in NODE_FOLDS:
         assert same(nodes(batch, label), gs.read_fold(spark, label, f"{out}/nodes/{label}")), label
     assert gs.read_quarantine(spark, out).count() == 1
+    store = BatchStore(spark, out)
+    assert store.snapshot()["batch"] >= 3 and all(len(store.folders(f"nodes/{label}")) <= 3 for label in NODE_FOLDS)
 
 
 def test_watermarked_windows_and_session_totals(spark, tmp_path):
