@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import ipv4_number
 from ..session import materialize
-from .joins import BROADCAST_ROWS, join_on_summary
+from .joins import join_on_summary
 
 # Kinds of block-list entries.
 TYPES = ["ips", "tokens", "referers"]
@@ -33,23 +33,60 @@ def expand_policy_reports(reports: DataFrame) -> DataFrame:
     return out
 
 
+# Where each kind of entry can occur in a request.
+BLOCK_KEYS = {"ips": ["remote_addr"], "tokens": ["http_x_session_token", "log_session_token"], "referers": ["referer"]}
+# Bits per entry of the filter, and the most words it may have (1 MB in every task).
+FILTER_BITS = 16
+FILTER_WORDS = 1 << 17
+
+
+def _filter_bits(type_: Column, value: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(type_, value, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+
+
+def present_filter(entries: DataFrame) -> tuple[Column, int]:
+    """A Bloom filter over (type, value) as a constant array of 64-bit words, and its bits.
+
+    It grows with the list up to ``FILTER_WORDS``; beyond that it lets more absent keys through,
+    which the join then sorts out.
+    """
+    words = min(FILTER_WORDS, max(1, entries.count() * FILTER_BITS // 64))
+    bits = words * 64
+    at = F.explode(F.array(*_filter_bits(F.col("type"), F.col("value"), bits)))
+    placed = entries.select(at.alias("at")).select(F.expr("at div 64").alias("word"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bit"))
+    held = [0] * words
+    for row in placed.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        held[row["word"]] = row["bits"]
+    # Text is folded to one array constant; single literals would make a plan of as many nodes.
+    return F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>"), bits
+
+
 def blocked_flag(requests: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Adds ``blocked``: the address, a token field or the exact referer is on the list."""
-    keys = {"ips": ["remote_addr"], "tokens": ["http_x_session_token", "log_session_token"], "referers": ["referer"]}
-    out, flags = requests, []
-    # Written once: four joins and the size check read the list.
-    state = materialize(blacklist.select("type", "value").distinct(), "blacklist")
-    small = state.count() <= BROADCAST_ROWS
-    for type_, columns in keys.items():
-        entries = state.where(F.col("type") == type_).select("value")
-        entries = F.broadcast(entries) if small else entries
-        for column in columns:
-            flag = f"_hit_{column}"
-            side = entries.select(F.col("value").alias(column), F.lit(True).alias(flag))
-            out = out.join(side, column, "left")
-            flags.append(flag)
-    blocked = F.coalesce(*[F.col(f) for f in flags], F.lit(False))
-    return out.withColumn("blocked", blocked).drop(*flags)
+    """Adds ``blocked``: the address, a token field or the exact referer is on the list.
+
+    Keys that a Bloom filter of the list rules out never leave their row.  Only rows with a key that
+    may be listed go through one join with the list, once for each such key.
+    """
+    # Written once: the filter and the join read the list.
+    state = materialize(blacklist.select("type", "value").where("value IS NOT NULL").distinct(), "blacklist")
+    words, bits = present_filter(state)
+
+    def maybe(type_: str, column: str) -> Column:
+        hit = F.lit(True)
+        for at in _filter_bits(F.lit(type_), F.col(column), bits):
+            word = F.get(words, F.shiftright(at, 6).cast("int"))
+            hit = hit & (F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        return F.when(F.col(column).isNotNull() & hit, F.struct(F.lit(type_).alias("type"), F.col(column).alias("value")))
+
+    found = F.filter(F.array(*[maybe(t, c) for t, columns in BLOCK_KEYS.items() for c in columns]), lambda k: k.isNotNull())
+    columns = requests.columns
+    # Written once, so that the log is parsed once for both kinds of rows.
+    keyed = materialize(requests.withColumn("_keys", found).withColumn("_open", F.size("_keys") > 0), "block-keys")
+    clear, open_ = keyed.where("NOT _open"), keyed.where("_open").withColumn("_row", F.monotonically_increasing_id())
+    long = open_.select(F.struct(*columns).alias("_request"), "_row", F.inline("_keys"))
+    listed = long.join(state.withColumn("_listed", F.lit(True)), ["type", "value"], "left")
+    flags = listed.groupBy("_row").agg(F.any_value("_request").alias("_request"), F.coalesce(F.max("_listed"), F.lit(False)).alias("blocked"))
+    return clear.select(*columns, F.lit(False).alias("blocked")).unionByName(flags.select("_request.*", "blocked"))
 
 
 def blocked_by_range(requests: DataFrame, ranges: DataFrame, address: str = "client_ip") -> DataFrame:

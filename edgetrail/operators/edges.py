@@ -138,9 +138,41 @@ def belongs_edges(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _belongs_structs(named: list[str]) -> list[Column]:
+    """What a row says about segments and contents, in the columns of an edge with (seq, own)."""
+    seq = F.struct(*ORDER).alias("seq")
+    own = F.expr("segment.content_id = content_id").alias("own")
+
+    def item(src: Column, dst: Column, own: Column) -> Column:
+        ends = [F.lit("Segment").alias(named[0]), src.alias(named[1]), F.lit("BELONGS_TO").alias(named[2])]
+        return F.struct(*ends, F.lit("Content").alias(named[3]), dst.alias(named[4]), seq, own.alias("own"))
+
+    return [
+        F.when(F.expr("segment.content_id <> ''"), item(F.expr("segment.segment_id"), F.expr("segment.content_id"), own)),
+        F.when(F.expr("content_id <> ''"), item(F.lit(""), F.col("content_id"), F.lit(False))),
+    ]
+
+
+def _edges_and_segments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges that one row decides, and the merged records of ``belongs_partial``: one parse, one shuffle."""
+    order = rows.select(F.struct(*ORDER).alias("seq")).schema["seq"].dataType
+    open_ = [F.lit(None).cast(order).alias("seq"), F.lit(None).cast("boolean").alias("own")]
+    pairs = []
+    for type_, src_type, src, dst_type, dst in RELATIONSHIPS:
+        both = F.expr(f"({src}) IS NOT NULL AND ({dst}) IS NOT NULL")
+        values = [F.lit(src_type), F.expr(src), F.lit(type_), F.lit(dst_type), F.expr(dst)]
+        pairs.append(F.when(both, F.struct(*[v.alias(n) for v, n in zip(values, EDGE_COLUMNS, strict=True)], *open_)))
+    items = rows.select(F.inline(F.array(*pairs, *_belongs_structs(list(EDGE_COLUMNS)))))
+    items = items.where(F.col("type").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
+    merged = items.groupBy(*EDGE_COLUMNS).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("own").alias("own"))
+    decided, segments = apart(merged, "type <> 'BELONGS_TO'", "type = 'BELONGS_TO'")
+    return decided.select(*EDGE_COLUMNS), segments.select("src", "dst", "first_seq", "last_seq", "own")
+
+
 def edges_unified(rows: DataFrame) -> DataFrame:
-    """Every relationship as (src_type, src, type, dst_type, dst)."""
-    return pair_edges(rows).unionByName(belongs_edges(belongs_to(rows)))
+    """Every relationship as (src_type, src, type, dst_type, dst), from one pass over the rows."""
+    decided, segments = _edges_and_segments(rows)
+    return decided.unionByName(belongs_edges(belongs_result(segments)))
 
 
 def graph_statistics(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import apart, join_on_summary
+from ..session import materialize
+from .joins import join_on_summary
 
 FANOUT_INPUTS = (
     "viewing_session_id", "cdn_token_id", "account_id", "content_id", "client_ip", "referrer_domain",
@@ -55,15 +56,32 @@ def _session_pairs(rows: DataFrame) -> DataFrame:
     ).where("value IS NOT NULL").distinct()
 
 
-def _session_legs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (session, token) pairs and distinct (session, kind, value) of the other legs."""
-    tokens, members = apart(_session_pairs(rows), "kind = 'token'", "kind <> 'token'")
-    return tokens.select("viewing_session_id", F.col("value").alias("token")), members
+def _first_values(legs: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """At most ``limit + 1`` distinct values of each kind in ``limits``, per session.
+
+    That many decide whether a union of sessions has more than ``limit``.  Spark cuts the groups
+    before and after the shuffle, so a session with very many addresses costs three rows per task.
+    """
+    kept = legs.where(F.col("kind").isin(list(limits)))
+    place = F.row_number().over(Window.partitionBy("viewing_session_id", "kind").orderBy("value"))
+    at_most = max(limits.values()) + 1
+    return kept.withColumn("_place", place).where(F.col("_place") <= at_most).drop("_place")
 
 
-def _members_of(tokens: DataFrame, legs: DataFrame) -> DataFrame:
-    """Distinct (token, kind, value) reached through the token's sessions."""
-    return tokens.join(legs, "viewing_session_id").select("token", "kind", "value").distinct()
+def _flagged_sessions(rows: DataFrame, min_ip: int, min_referrer: int) -> tuple[DataFrame, DataFrame]:
+    """(token, session, sessions) of the flagged tokens, ``sessions`` being how many the token has, and all legs.
+
+    The distinct pairs are written once.  Flags are decided on a few values per session, so no
+    token meets all members of its sessions before it is known to be flagged.
+    """
+    pairs = materialize(_session_pairs(rows), "session-pairs", "kind")
+    legs = pairs.where("kind <> 'token'").select("viewing_session_id", "kind", "value")
+    tokens = pairs.where("kind = 'token'").select("viewing_session_id", F.col("value").alias("token"))
+    few = tokens.join(_first_values(legs, {"ip": min_ip, "referrer": min_referrer}), "viewing_session_id", "left")
+    counts = _fanout_counts(few.select("token", "kind", "value").distinct(), "token")
+    flagged = counts.where((F.col("ip_count") > min_ip) | (F.col("referrer_count") > min_referrer)).select("token")
+    seen = tokens.groupBy("token").agg(F.count("*").alias("sessions")).join(flagged, "token", "left_semi")
+    return materialize(join_on_summary(tokens, seen, ["token"], "sessions"), "flagged-sessions"), legs
 
 
 def _fanout_counts(members: DataFrame, key: str) -> DataFrame:
@@ -71,24 +89,22 @@ def _fanout_counts(members: DataFrame, key: str) -> DataFrame:
     return members.groupBy(key).agg(*counts)
 
 
-def _flagged(tokens: DataFrame, legs: DataFrame, min_ip: int, min_referrer: int) -> DataFrame:
-    """Counts of the flagged tokens, with their number of sessions.
-
-    A token of one session has that session's counts, so a session with many tokens and many
-    members costs one row per token.  Only tokens of several sessions unite their members.
-    """
-    seen = tokens.groupBy("token").agg(F.count("*").alias("sessions"), F.min("viewing_session_id").alias("viewing_session_id"))
-    single, several = apart(seen, "sessions = 1", "sessions > 1")
-    of_session = single.join(_fanout_counts(legs, "viewing_session_id"), "viewing_session_id").drop("viewing_session_id")
-    several = several.select("token", "sessions")
-    united = _fanout_counts(_members_of(join_on_summary(tokens, several, ["token"], "sessions").drop("sessions"), legs), "token")
-    counts = of_session.unionByName(united.join(several, "token"))
-    return counts.where((F.col("ip_count") > min_ip) | (F.col("referrer_count") > min_referrer))
+def _members(flagged: DataFrame, legs: DataFrame) -> DataFrame:
+    """Distinct (token, kind, value) reached through the tokens' sessions."""
+    return flagged.join(legs, "viewing_session_id").select("token", "kind", "value").distinct()
 
 
 def token_fanout(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1) -> DataFrame:
-    """Tokens used from more than ``min_ip`` addresses or ``min_referrer`` referrers."""
-    return _flagged(*_session_legs(rows), min_ip, min_referrer).select("token", *[f"{k}_count" for k in _FANOUT_KINDS])
+    """Tokens used from more than ``min_ip`` addresses or ``min_referrer`` referrers, with exact counts.
+
+    A flagged token of one session has that session's counts, so a session with many tokens and
+    many members costs one row per token.  Only flagged tokens of several sessions unite members.
+    """
+    flagged, legs = _flagged_sessions(rows, min_ip, min_referrer)
+    single = flagged.where("sessions = 1").join(_fanout_counts(legs, "viewing_session_id"), "viewing_session_id")
+    united = _fanout_counts(_members(flagged.where("sessions > 1"), legs), "token")
+    columns = ["token", *[f"{k}_count" for k in _FANOUT_KINDS]]
+    return single.select(*columns).unionByName(united.select(*columns))
 
 
 def token_fanout_members(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1) -> DataFrame:
@@ -97,20 +113,14 @@ def token_fanout_members(rows: DataFrame, min_ip: int = 2, min_referrer: int = 1
     One row per member instead of one list per token: a token shared by very many clients
     never has to fit into one row.  Only flagged tokens meet the members of their sessions.
     """
-    tokens, legs = _session_legs(rows)
-    flagged = _flagged(tokens, legs, min_ip, min_referrer).select("token", "sessions")
-    return _members_of(join_on_summary(tokens, flagged, ["token"], "sessions"), legs)
+    return _members(*_flagged_sessions(rows, min_ip, min_referrer))
 
 
 def suspicious_sessions(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Sessions that used a flagged token, with their addresses: all pairs, or with ``limit`` the first ones."""
-    tokens, legs = _session_legs(rows)
-    flagged = _flagged(tokens, legs, 2, 1).select("token", "sessions")
-    sessions = join_on_summary(tokens, flagged, ["token"], "sessions").select("viewing_session_id").distinct()
+    flagged, legs = _flagged_sessions(rows, 2, 1)
     pairs = legs.where("kind = 'ip'").select("viewing_session_id", F.col("value").alias("client_ip"))
-    by_session = pairs.groupBy("viewing_session_id").agg(F.count("*").alias("n"))
-    by_session = by_session.join(sessions, "viewing_session_id", "left_semi")
-    found = join_on_summary(pairs, by_session, ["viewing_session_id"], "n").drop("n")
+    found = pairs.join(flagged.select("viewing_session_id").distinct(), "viewing_session_id", "left_semi")
     return found if limit is None else found.orderBy("viewing_session_id", "client_ip").limit(limit)
 
 
@@ -193,18 +203,52 @@ def log_search(requests: DataFrame, text: str = "", status: str = "all") -> Data
 # --- pipeline and gateway metrics ----------------------------------------------------------
 
 
+def order_statistics(counted: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """Exact percentiles (with linear interpolation) of counted values per key: key, share, percentile.
+
+    ``counted`` has one row per (key, value) with its count ``n``; values are whole numbers.  A first
+    pass counts buckets as wide as the square root of the key's range and finds the buckets that hold
+    the wanted ranks, a second one orders the values of those buckets alone.  No task holds more than
+    about the square root of a key's range, however many rows or distinct values the key has.
+    """
+    span = counted.groupBy(key).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("n").alias("_rows"))
+    width = F.ceil(F.sqrt(F.col("_high") - F.col("_low") + 1)).cast("bigint")
+    span = span.select(key, "_low", "_rows", width.alias("_width"))
+    rank = F.col("share") * (F.col("_rows") - 1)
+    wanted = span.select(key, "_rows", F.explode(F.array(*[F.lit(p) for p in shares])).alias("share"))
+    ends = F.array(F.struct(F.lit("low").alias("end"), F.floor(rank).alias("rank")), F.struct(F.lit("high").alias("end"), F.ceil(rank).alias("rank")))
+    wanted = wanted.select(key, "share", (rank - F.floor(rank)).alias("part"), F.inline(ends))
+
+    def placed(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+        """The rows of a group before each one, in order."""
+        before = F.sum("n").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_before", F.coalesce(before, F.lit(0)))
+
+    bucketed = counted.join(span.select(key, "_low", "_width"), key).withColumn("_bucket", F.expr(f"({value} - _low) div _width"))
+    coarse = placed(bucketed.groupBy(key, "_bucket").agg(F.sum("n").alias("n")), [key], "_bucket")
+    holds = (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("n"))
+    chosen = wanted.join(coarse, key).where(holds).select(key, "share", "part", "end", "_bucket", (F.col("rank") - F.col("_before")).alias("rank"))
+    fine = bucketed.join(chosen.select(key, "_bucket").distinct(), [key, "_bucket"], "left_semi").select(key, "_bucket", value, "n")
+    found = chosen.join(placed(fine, [key, "_bucket"], value), [key, "_bucket"]).where(holds)
+    low, high = (F.max(F.when(F.col("end") == e, F.col(value))) for e in ("low", "high"))
+    return found.groupBy(key, "share").agg((low + (high - low) * F.max("part")).alias("percentile"))
+
+
+DELAYS = {0.5: "delay_p50_ms", 0.95: "delay_p95_ms", 0.99: "delay_p99_ms"}
+
+
 def window_metrics(requests: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Per window: requests, MB and errors per second, cache hits, and delay percentiles.
 
     The delay is from the record's own time to its ingest time in whole milliseconds.  Rows
-    are first counted per (window, delay), so the exact percentiles read counted values.
+    are first counted per (window, delay) and written; sums and exact percentiles read the counts.
     """
     delay = F.unix_millis("ingest_ts") - F.unix_millis("event_ts")
+    window = F.window("event_ts", bucket)
     counted = (
-        requests.select(
-            F.window("event_ts", bucket).alias("w"), delay.alias("delay_ms"), "size", "status", "cache_status"
-        )
-        .groupBy("w", "delay_ms")
+        requests.select(window.alias("w"), delay.alias("delay_ms"), "size", "status", "cache_status")
+        .select(F.col("w.start").alias("window_start"), (F.unix_seconds("w.end") - F.unix_seconds("w.start")).alias("length"), "*")
+        .groupBy("window_start", "length", "delay_ms")
         .agg(
             F.count("*").alias("n"),
             F.sum("size").alias("bytes"),
@@ -213,27 +257,21 @@ def window_metrics(requests: DataFrame, bucket: str = "1 hour") -> DataFrame:
             F.count_if(F.col("cache_status").isin("HIT", "MISS")).alias("cacheable"),
         )
     )
-    length = F.unix_seconds("w.end") - F.unix_seconds("w.start")
-    ranks = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    out = counted.groupBy("w").agg(
-        F.sum("n").alias("requests"),
-        F.sum("bytes").alias("bytes"),
-        F.sum("errors").alias("errors"),
-        F.sum("hits").alias("hits"),
-        F.sum("cacheable").alias("cacheable"),
-        F.percentile("delay_ms", ranks, F.col("n")).alias("delay"),
-        F.max("delay_ms").alias("lag_ms"),
+    counted = materialize(counted, "window-delays")
+    sums = counted.groupBy("window_start", "length").agg(
+        F.sum("n").alias("requests"), *[F.sum(c).alias(c) for c in ("bytes", "errors", "hits", "cacheable")], F.max("delay_ms").alias("lag_ms")
     )
-    return out.select(
-        F.col("w.start").alias("window_start"),
+    known = counted.where("delay_ms IS NOT NULL").select("window_start", "delay_ms", "n")
+    found = order_statistics(known, "window_start", "delay_ms", list(DELAYS))
+    delays = found.groupBy("window_start").agg(*[F.round(F.max(F.when(F.col("share") == p, F.col("percentile"))), 3).alias(n) for p, n in DELAYS.items()])
+    return sums.join(delays, "window_start", "left").select(
+        "window_start",
         "requests",
-        F.round(F.col("requests") / length, 6).alias("requests_per_sec"),
-        F.round(F.col("bytes") / 1e6 / length, 6).alias("mb_per_sec"),
+        F.round(F.col("requests") / F.col("length"), 6).alias("requests_per_sec"),
+        F.round(F.col("bytes") / 1e6 / F.col("length"), 6).alias("mb_per_sec"),
         F.round(F.col("errors") / F.col("requests"), 6).alias("error_rate"),
         F.round(F.try_divide("hits", "cacheable"), 6).alias("cache_hit_ratio"),
-        F.round(F.col("delay")[0], 3).alias("delay_p50_ms"),
-        F.round(F.col("delay")[1], 3).alias("delay_p95_ms"),
-        F.round(F.col("delay")[2], 3).alias("delay_p99_ms"),
+        *DELAYS.values(),
         "lag_ms",
     )
 

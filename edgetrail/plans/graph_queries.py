@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import edges, legacy, nodes, reports
 from ..operators.correlation import INPUTS as CORRELATION_INPUTS
-from ..operators.correlation import ip_correlation, ip_paths, shared_tokens
+from ..operators.correlation import ip_correlation, ip_paths, ip_similarity, shared_tokens
 from ..operators.graph_rows import graph_rows
 from ..operators.normalize import REQUEST_COLUMNS, normalize_requests
 from ..operators.quality import replay_difference
@@ -295,7 +295,7 @@ def _networks(rows: DataFrame) -> DataFrame:
     GROUP BY cdn_token_id"""),
 )
 def asn_distribution(spark, sf_dir):
-    rows = _rows(spark, sf_dir, ["cdn_token_id", "client_ip"])
+    rows = materialize(_rows(spark, sf_dir, ["cdn_token_id", "client_ip"]), "token-addresses")
     lists = legacy.asn_distribution(rows, _networks(rows))
     text = F.transform("asn_distribution", lambda x: F.concat(x["asn_type"], F.lit("="), x["count"].cast("string")))
     return lists.select("cdn_token_id", F.array_join(text, ",").alias("distribution"))
@@ -320,7 +320,7 @@ _STARTS = f"(SELECT DISTINCT client_ip AS ip FROM grows WHERE {_ASN} = 'hosting'
     FROM shared JOIN span s1 ON s1.ip = ip1 JOIN span s2 ON s2.ip = ip2 WHERE shared_tokens > 0""",
 )
 def ip_correlation_query(spark, sf_dir):
-    rows = _rows(spark, sf_dir, CORRELATION_INPUTS)
+    rows = materialize(_rows(spark, sf_dir, CORRELATION_INPUTS), "addresses")
     starts = _networks(rows).where("asn_type = 'hosting'").select(F.col("ip_address").alias("ip"))
     return ip_correlation(rows, starts)
 
@@ -334,11 +334,39 @@ def ip_correlation_query(spark, sf_dir):
     SELECT start, ip, min(hops) AS hops FROM p WHERE start IN {_STARTS} GROUP BY ALL""",
 )
 def ip_paths_query(spark, sf_dir):
-    rows = _rows(spark, sf_dir, CORRELATION_INPUTS)
+    rows = materialize(_rows(spark, sf_dir, CORRELATION_INPUTS), "addresses")
     starts = _networks(rows).where("asn_type = 'hosting'").select(F.col("ip_address").alias("ip"))
     return ip_paths(rows, starts)
 
 
+_LEAST = 0.1
+_SETS = """,
+    d AS (SELECT DISTINCT kind, value, ip FROM (SELECT 'token' AS kind, cdn_token_id AS value, client_ip AS ip FROM grows WHERE cdn_token_id <> '' AND client_ip <> '-'
+      UNION ALL SELECT 'referrer', referrer_domain, client_ip FROM grows WHERE client_ip <> '-') x),
+    s AS (SELECT ip, string_agg(kind || ':' || value, '|' ORDER BY kind, value) AS own, count(*) AS items FROM d GROUP BY ip),
+    c AS (SELECT ip, min(ip) OVER (PARTITION BY own) AS cls, items FROM s)"""
+
+
+@query("ip_classes", over_rows("").rstrip() + _SETS + " SELECT ip, cls, items FROM c")
+def ip_classes(spark, sf_dir):
+    """Addresses with exactly the same tokens and referrers, by their least address."""
+    return ip_similarity(_rows(spark, sf_dir, CORRELATION_INPUTS), _LEAST)[0]
+
+
+@query(
+    "ip_correlation_all",
+    over_rows("").rstrip() + _SETS + f""",
+    p AS (SELECT x.ip AS cls1, y.ip AS cls2, count(*) FILTER (WHERE kind = 'token') AS shared_tokens, count(*) FILTER (WHERE kind = 'referrer') AS shared_referers
+      FROM d x JOIN d y USING (kind, value) WHERE x.ip < y.ip AND x.ip IN (SELECT cls FROM c) AND y.ip IN (SELECT cls FROM c) GROUP BY ALL)
+    SELECT cls1, cls2, shared_tokens, shared_referers, round((shared_tokens + shared_referers) / (a.items + b.items - shared_tokens - shared_referers), 6) AS score
+    FROM p JOIN c a ON a.ip = cls1 JOIN c b ON b.ip = cls2
+    WHERE (shared_tokens + shared_referers) / (a.items + b.items - shared_tokens - shared_referers) >= {_LEAST}""",
+)
+def ip_correlation_all(spark, sf_dir):
+    """All pairs of address classes with a score of at least 0.1, over the whole log."""
+    return ip_similarity(_rows(spark, sf_dir, CORRELATION_INPUTS), _LEAST)[1]
+
+
 @query(
     "shared_tokens",
     over_rows("""SELECT ip, count(*) AS tokens, count(*) FILTER (WHERE n > 1) AS shared_tokens, max(n) AS largest_group FROM (
