@@ -44,7 +44,9 @@ OTHER_TOKENS = frozenset(
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
 TRAINING_PAGES = 300
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TRAINING_CHARS = 1 << 16
+# `<!-->` is a whole comment; a tag with an unclosed quote ends at the next `>`.
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -312,23 +314,43 @@ def variants(page: str, seed: int) -> list[str]:
     return out
 
 
-def fit(pages: DataFrame, max_pages: int = TRAINING_PAGES) -> Trees:
-    """Trees fitted to at most max_pages pages, those with the least hashes among a few times as many."""
+def made_page(seed: int) -> str:
+    """A page with an article between menus and notes, of invented words, for corpora without marked articles."""
+    rnd = random.Random(seed)
+    said = lambda low, high: " ".join("".join(rnd.choices("abcdefghilmnoprstu", k=rnd.randint(2, 9))) for _ in range(rnd.randint(low, high)))
+    links = "".join(f'<li><a href="/{i}">{said(1, 3)}</a></li>' for i in range(rnd.randint(3, 8)))
+    body = "".join(f"<p>{said(15, 80)}</p>" for _ in range(rnd.randint(2, 12)))
+    return (
+        f"<html><head><title>{said(2, 6)}</title></head><body><nav><ul>{links}</ul></nav>"
+        f"<article><h1>{said(2, 8)}</h1>{body}<h2>{said(2, 5)}</h2><p>{said(20, 60)}</p></article>"
+        f"<footer><p>{said(3, 12)}</p></footer></body></html>"
+    )
+
+
+def fit(pages: DataFrame, max_pages: int = TRAINING_PAGES, max_chars: int = TRAINING_CHARS) -> Trees:
+    """Trees fitted to at most max_pages pages, those with the least hashes among a few times as many.
+
+    Pages of max_chars characters and more are not learned from (they are extracted like all others). If no learned
+    page marks its article, trees are fitted to pages the library makes itself, so they are never without training.
+    """
     rows = pages.where("html IS NOT NULL").select("page_id", "html")
     n = rows.count()
     if n > 4 * max_pages:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(3), "page_id", F.length("html")), F.lit(1 << 20)) < int(4 * max_pages / n * (1 << 20)))
-    sample = rows.where(F.length("html") < 1 << 16).orderBy(F.xxhash64("html"), "page_id").limit(max_pages).toArrow()
-    xs, ys = [np.zeros((0, N_FEATURES))], [np.zeros(0)]
-    for i, page in enumerate(sample["html"].to_pylist()):
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(3), "page_id", F.length("html")), F.lit(1 << 50)) < max(1, (4 * max_pages << 50) // n))
+    sample = rows.where(F.length("html") < max_chars).orderBy(F.xxhash64("html"), "page_id").limit(max_pages).toArrow()
+    return _fitted(sample["html"].to_pylist()) or _fitted([made_page(i) for i in range(100)])
+
+
+def _fitted(pages: list[str]) -> Trees | None:
+    xs, ys = [], []
+    for i, page in enumerate(pages):
         for text in variants(page, i):
             nodes = parse(text)
             truth = weak_truth(nodes)
             if truth is not None:
                 xs.append(features(nodes))
                 ys.append(truth)
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    return Trees().fit(x, y) if len(y) else Trees()
+    return Trees().fit(np.concatenate(xs), np.concatenate(ys)) if ys else None
 
 
 def extract(pages: DataFrame, model: Trees) -> DataFrame:

@@ -37,11 +37,20 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and unit vectors; scaled first, so that squares neither overflow nor vanish."""
+    peak = np.abs(vectors).max(axis=1)
+    scaled = vectors / peak[:, None]
+    length = np.sqrt((scaled * scaled).sum(axis=1))
+    with np.errstate(over="ignore"):
+        return peak * length, scaled / length[:, None]
+
+
 def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, lengths, and inner products of unit vectors with their codes' unit vectors."""
     d = vectors.shape[1]
-    length = np.sqrt((vectors * vectors).sum(axis=1))
-    turned = (vectors / length[:, None]) @ rotation(d).T
+    length, unit = units(vectors)
+    turned = unit @ rotation(d).T
     return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / math.sqrt(d)
 
 
@@ -124,20 +133,26 @@ def _scan(rows: list[tuple], d: int, query_ids: list[int], queries: np.ndarray,
     vectors = np.frombuffer(b"".join(r[0] for r in rows)).reshape(-1, d)
     signs = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=d).astype(np.float32) * 2 - 1
     length, agreement = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-    scale = (length / (agreement * math.sqrt(d))).astype(np.float32)
-    spread = (length * np.sqrt(np.maximum(1 - agreement**2, 0)) / agreement * EPSILON / math.sqrt(max(1, d - 1))).astype(np.float32)
-    turned = (queries @ rotation(d).T).astype(np.float32)
-    norms = np.sqrt((queries * queries).sum(axis=1)).astype(np.float32)
+    # Directions are compared in single precision; lengths, which may be very large or small, stay in double.
+    scale = length / (agreement * math.sqrt(d))
+    spread = length * (np.sqrt(np.maximum(1 - agreement**2, 0)) / agreement * EPSILON / math.sqrt(max(1, d - 1)))
+    turned = (units(queries)[1] @ rotation(d).T).astype(np.float32)
     # A vector stands for up to k + 1 ids, of which one may be the query's own.
     need = min(k + 1, len(rows)) - 1
-    per = max(1, (8 << 20) // (4 * len(rows)))
+    per = max(1, (8 << 20) // (8 * len(rows)))
     for at in range(0, len(queries), per):
-        guess = (turned[at : at + per] @ signs.T) * scale
-        error = norms[at : at + per, None] * spread
-        floor = np.partition(guess - error, len(rows) - 1 - need, axis=1)[:, len(rows) - 1 - need]
-        for i, chosen in enumerate(guess + error >= floor[:, None]):
+        with np.errstate(over="ignore", invalid="ignore"):
+            guess = (turned[at : at + per] @ signs.T) * scale
+            lower = np.nan_to_num(guess - spread, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            floor = np.partition(lower, len(rows) - 1 - need, axis=1)[:, len(rows) - 1 - need]
+            # Without a bound (not a number) a vector is reranked.
+            outside = guess + spread < floor[:, None]
+        for i, chosen in enumerate(~outside):
             near = np.flatnonzero(chosen)
-            scores = exact(queries[at + i], vectors[near])
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = exact(queries[at + i], vectors[near])
+            # A sum without a value, as of +inf and -inf, comes last.
+            scores = np.where(np.isnan(scores), -np.inf, scores)
             least = np.partition(scores, len(scores) - 1 - need)[len(scores) - 1 - need]  # and all its ties
             hits = [(-scores[j], v) for j in np.flatnonzero(scores >= least) for v in rows[near[j]][1] if v != query_ids[at + i]]
             for minus, v in sorted(hits)[:k]:
@@ -145,13 +160,18 @@ def _scan(rows: list[tuple], d: int, query_ids: list[int], queries: np.ndarray,
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """The k nearest vectors of every vector whose vec_id is divisible by every."""
+    """The k nearest vectors of every vector whose vec_id is divisible by every.
+
+    Each row is a candidate: an id with several vectors is listed once for each of them that is near. As a query such an
+    id asks with the least of its vectors (in the order of their bytes). Products beyond double precision are infinite.
+    """
     codes = written(index(vectors, k), "codes")
     whole = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     asked = codes.select("vector", F.explode("ids").alias("vec_id")).where(F.col("vec_id") % every == 0)
     # Ids beyond the k + 1 least of a vector are found by their own rows.
     rest = whole.where(F.col("vec_id") % every == 0).join(asked.select("vec_id"), "vec_id", "left_anti")
-    return search(codes, asked.unionByName(_packed(rest)).dropDuplicates(["vec_id"]), k)
+    asked = asked.unionByName(_packed(rest)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return search(codes, asked, k)
 
 
 def _packed(rows: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def _cells(pages: DataFrame, per_shard: int):
     low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
     low, high = low or 0, high or 0
     width = (high - low) // MAX_CELLS + 1
-    cell = F.expr(f"(page_id - {low}L) DIV {width}L")
+    # In decimals: ids may lie further apart than 64 bits reach.
+    cell = F.expr(f"(CAST(page_id AS DECIMAL(20, 0)) - CAST('{low}' AS DECIMAL(20, 0))) DIV CAST('{width}' AS DECIMAL(20, 0))")
     counted = pages.where("page_id IS NOT NULL").groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()  # at most MAX_CELLS rows
     sizes = np.zeros((high - low) // width + 1, np.int64)
     sizes[counted["cell"].to_numpy()] = counted["n"].to_numpy()

@@ -271,3 +271,54 @@ def test_product_sums_are_exact():
         bits = np.array([int(v).bit_length() for v in x.max(axis=0)])
         want = [[sum(int(a) * int(b) for a, b in zip(x[:, j], x[:, k], strict=True)) if k >= j else 0 for k in range(4)] for j in range(4)]
         assert whitening.product_sums(x, bits).tolist() == want
+
+
+# --- legal but unusual inputs of earlier operators -----------------------------------------
+
+
+def test_html_comments_and_open_quotes():
+    from edgetrail.llm.html_text import main_text, parse
+
+    def text(page):
+        nodes = parse(page)
+        return main_text(nodes, np.ones(len(nodes)))
+
+    assert text("<p>one</p><!--><p>two</p>") == text("<p>one</p><!---><p>two</p>") == "one\ntwo"
+    assert text("<p>one</p><!-- x > y --><p>two</p><!-- no end") == "one\ntwo"
+    assert text('<p title="x>b</p><p>c</p>') == "b\nc"
+    assert text('<p title="a > b">d</p>') == "d"
+
+
+def test_html_without_marked_articles(spark):
+    from edgetrail.llm import html_text
+
+    body = "".join(f"<p>Some longer sentence number {i} of the text that a reader came for, with many words.</p>" for i in range(6))
+    rows = [(i, "u", f'<html><body><nav><ul><li><a href="/">home</a></li></ul></nav><div class="post">{body}</div><div id="footer"><p>about</p></div></body></html>') for i in range(5)]
+    pages = ship(spark).createDataFrame(rows, "page_id long, url string, html string")
+    found = html_text.extract(pages, html_text.fit(pages)).collect()
+    assert all(r.text.count("\n") == 5 and "number 3" in r.text and "home" not in r.text for r in found)
+    assert html_text._fitted([]) is None
+
+
+def test_rotated_codes_of_any_magnitude(spark):
+    from edgetrail.llm import rotated_codes
+
+    rnd = np.random.default_rng(2)
+    for scale in (1e-200, 1e20, 1e150, 1e300):
+        vectors = rnd.standard_normal((60, 8)) * scale * np.exp(rnd.standard_normal((60, 1)))
+        df = ship(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r.rank): r.vec_id for r in rotated_codes.nearest(df, 5).collect()}
+        assert len(got) == 15
+        if scale < 1e100:
+            for q in (0, 20, 40):
+                score = (vectors / scale) @ (vectors[q] / scale)
+                score[q] = -np.inf
+                assert [got[q, r] for r in range(1, 6)] == np.argsort(-score)[:5].tolist() or scale < 1
+
+
+def test_warc_of_far_apart_ids(spark, tmp_path):
+    from edgetrail.llm import warc
+
+    ids = [-(2**63), -5, 0, 7, 2**63 - 1]
+    pages = ship(spark).createDataFrame([(i, "u", f"<p>{i % 3}</p>") for i in ids], "page_id long, url string, html string")
+    assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == ids
