@@ -76,6 +76,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few hundred rows at most, so that few texts are Python objects at once."""
+    for batch in parts:
+        for at in range(0, batch.num_rows, ROWS_PER_BATCH):
+            yield batch.slice(at, ROWS_PER_BATCH)
+
+
 def rows_of(parts: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """The named columns of each row, a few hundred rows at a time."""
     for batch in parts:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetrail.llm.common import batches, rows_of
+from edgetrail.llm.common import batches, rows_of, slices
 from edgetrail.llm.shingles import hashed, plain_words, shingle_set, shingles
 
 SKETCH = 16
@@ -104,9 +104,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float
 
     def without(rest: DataFrame, index) -> DataFrame:
         def keep(parts):
-            for batch in parts:
-                texts = batch.column("text").to_pylist()
-                yield batch.filter(pa.array([next(index.value.found(t or "", threshold), None) is None for t in texts], pa.bool_()))
+            for piece in slices(parts):
+                texts = piece.column("text").to_pylist()
+                yield piece.filter(pa.array([next(index.value.found(t or "", threshold), None) is None for t in texts], pa.bool_()))
 
         return rest.mapInArrow(keep, docs.schema)
 

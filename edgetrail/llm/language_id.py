@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetrail.llm.common import batches, rows_of
+from edgetrail.llm.common import batches, rows_of, slices
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -135,9 +135,9 @@ def recognised(docs: DataFrame, names: list[str], logs: np.ndarray) -> DataFrame
     model = docs.sparkSession.sparkContext.broadcast((names, logs))
 
     def keep(parts):
-        for batch in parts:
-            found = [x for x, _ in _scored(batch.column("text").to_pylist(), *model.value)]
-            yield batch.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+        for piece in slices(parts):
+            found = _scored(piece.column("text").to_pylist(), *model.value)
+            yield piece.filter(pa.array([x != UNKNOWN for x, _ in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

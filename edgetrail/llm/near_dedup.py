@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgetrail.llm.common import batches, rows_of, written
@@ -29,7 +29,7 @@ SKETCH_BINS = 1024
 SKETCH_LONGS = SKETCH_BINS // 64
 _PROBES = 4096
 _SIGNATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("mark", pa.int64())]
 )
 _probes: list[np.ndarray] = []
 
@@ -79,20 +79,22 @@ def _signature(text: str | None, size: int) -> tuple:
     return len(distinct), a, b, key.view(np.int64).tolist(), _sketch(distinct)
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, mark: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; sets hold the distinct shingles of size
     words of the whole text. Texts whose sets overlap by percent of their union are linked. A text without words has
     no set and no link. Equal rows are linked like other copies. A null doc_id takes no part: its component and kept
-    are null. Other columns are ignored.
+    are null. Other columns are ignored. With mark (a long) its value comes along, by which rows of a repeated doc_id
+    can be told apart.
     """
 
     def sign(parts):
-        yield from batches(((d, *_signature(t, size)) for d, t in rows_of(parts, "doc_id", "text")), _SIGNATURES)
+        yield from batches(((d, *_signature(t, size), m) for d, t, m in rows_of(parts, "doc_id", "text", "mark")), _SIGNATURES)
 
     rows = docs.select("doc_id", "text")
-    signed = written(rows.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, keys array<long>, sketch array<long>"), "signatures")
+    marked = docs.select("doc_id", "text", (F.lit(None).cast("long") if mark is None else mark).alias("mark"))
+    signed = written(marked.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, keys array<long>, sketch array<long>, mark long"), "signatures")
     classes = written(
         signed.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("set_a", "set_b")
@@ -138,9 +140,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     placed = classes.select("cls", "set_a", "set_b", "least").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
     component = placed.join(least, "root").select(F.col("set_a").alias("own_a"), F.col("set_b").alias("own_b"), "component")
-    found = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(component, (F.col("set_a") == F.col("own_a")) & (F.col("set_b") == F.col("own_b")), "left")
+    found = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b", "mark").join(component, (F.col("set_a") == F.col("own_a")) & (F.col("set_b") == F.col("own_b")), "left")
     found = found.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    found = found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "mark")
+    return found.drop("mark") if mark is None else found
 
 
 _LOOKS = ("n", "least", "sketch")

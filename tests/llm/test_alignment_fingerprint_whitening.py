@@ -322,3 +322,14 @@ def test_warc_of_far_apart_ids(spark, tmp_path):
     ids = [-(2**63), -5, 0, 7, 2**63 - 1]
     pages = ship(spark).createDataFrame([(i, "u", f"<p>{i % 3}</p>") for i in ids], "page_id long, url string, html string")
     assert sorted(r.page_id for r in warc.round_trip(pages).collect()) == ids
+
+
+def test_pipeline_keeps_a_unique_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    same, other = "one two three four five six seven eight", "a wholly different text that nothing else here repeats at all"
+    rows = [(1, same, "en", "s", 1), (2, same, "en", "s", 1), (2, other, "en", "s", 1), (None, same, "en", "s", 1)]
+    docs = ship(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF_DIR)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, same), (2, other), (0, same)])
+    assert kept.columns == docs.columns
