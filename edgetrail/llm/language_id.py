@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 N-grams of one to four letters lie within words, whose ends count as a letter; they are hashed into BUCKETS. Counts
-are summed by Spark; the matrix of log probabilities (languages x BUCKETS, at most MAX_LANGUAGES) is broadcast.
-Texts are scored in numpy: each n-gram of a text picks its row of the matrix, and rows are added per text.
+are summed by Spark; the matrix of log probabilities (languages x BUCKETS) is broadcast, BLOCK_LANGUAGES rows at a time.
+Texts are scored in batches in numpy: the sparse counts of (text, bucket) are multiplied by the matrix.
 """
 
 from __future__ import annotations
@@ -14,17 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetrail.llm.common import batches, rows_of, slices
+from edgetrail.llm.common import rows_of, slices, written
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
+# Languages in one broadcast matrix: at most 64 MB.
+BLOCK_LANGUAGES = 256
+# More values than there are languages: the list of names is bounded.
+MAX_LANGUAGES = 16_384
 # The model may be fitted on a sample of about this many labelled rows, chosen by a hash within each language. A language
-# gives as many as its share, but its part of MAX_LANGUAGES at least, or all it has, so the sample is at most twice this.
+# gives as many as its share, but about LEAST_ROWS or all it has at least, so the sample grows with the languages only.
 MAX_TRAINING_ROWS = 20_000
+LEAST_ROWS = 78
 SMOOTHING = 0.5
 UNKNOWN = "und"
 _SEGMENT = 1 << 18
+_HELD_COUNTS = 1 << 22
 _letters: list[np.ndarray] = []
 
 
@@ -60,84 +65,155 @@ def segments(codes: np.ndarray):
         yield piece, min(_SEGMENT, len(codes) - at)
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
-    """The languages, and their log probabilities by bucket with a last row of zeros, from (doc_id, text, lang)."""
+def counted(texts):
+    """Sparse counts of (row, text) pairs, piece by piece: (rows, buckets, counts) without repeats in a piece.
+
+    Texts are laid end to end up to _SEGMENT code points, so that a piece is hashed by a few array operations; a longer
+    text goes over several pieces. The 0 at both ends of a text keeps n-grams of neighbours apart.
+    """
+    held, size = [], 0
+    for row, text in texts:
+        for piece, starts in segments(letters(text)):
+            held.append((row, piece, starts))
+            size += len(piece)
+            if size >= _SEGMENT:
+                yield _sparse(held)
+                held, size = [], 0
+    if held:
+        yield _sparse(held)
+
+
+def _sparse(held: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = np.array([len(piece) for _, piece, _ in held])
+    rows = np.repeat(np.array([row for row, _, _ in held], np.int64), lengths)
+    ends = np.cumsum(lengths)
+    begins = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) < np.repeat([starts for _, _, starts in held], lengths)
+    found = ngrams(np.concatenate([piece for _, piece, _ in held]), ends[-1])
+    keys = (rows * BUCKETS + found)[begins & (found < BUCKETS)]
+    keys, counts = np.unique(keys, return_counts=True)
+    return keys // BUCKETS, keys % BUCKETS, counts
+
+
+def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[str], DataFrame]:
+    """The languages in order, and their counts (lang, bucket, n) as a written table, from (doc_id, text, lang)."""
+    spark = labelled.sparkSession
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(seen) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = [r.lang for r in seen]
-    place = {x: i for i, x in enumerate(names)}
+        raise ValueError(f"lang holds more than {MAX_LANGUAGES} values: these are not languages")
     n = sum(r.n for r in seen)
-    if n > max_rows:
-        shares = {r.lang: min(1.0, max(max_rows / n, max_rows / MAX_LANGUAGES / r.n)) for r in seen}
-        below = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, math.ceil(share * (1 << 20)))))
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 20)) < below[F.col("lang")])
+    shares = [(r.lang, i, math.ceil(min(1.0, max(max_rows / n, LEAST_ROWS / r.n)) * (1 << 20))) for i, r in enumerate(seen)]
+    known = spark.createDataFrame(shares, "lang string, place int, below long")
+    rows = rows.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 20)) < F.col("below"))
 
     def count(parts):
-        totals = np.zeros((len(names), BUCKETS + 1), np.int64)
-        for text, lang in rows_of(parts, "text", "lang"):
-            for piece, starts in segments(letters(text)):
-                np.add.at(totals[place[lang]], ngrams(piece, starts).ravel(), 1)
-        lang, bucket = np.nonzero(totals[:, :BUCKETS])
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(totals[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
-
-    counts = rows.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    totals = np.full((len(names), BUCKETS), SMOOTHING)
-    totals[counts["lang"].to_numpy(), counts["bucket"].to_numpy()] += counts["n"].to_numpy()
-    logs = np.zeros((BUCKETS + 1, max(1, len(names))), np.float32)
-    if names:
-        logs[:BUCKETS] = np.log(totals / totals.sum(axis=1, keepdims=True)).T
-    return names, logs
-
-
-def _scored(texts, names: list[str], table: np.ndarray):
-    """The best language of each text and its score."""
-    for text in texts:
-        codes = letters(text or "")
-        if not codes.any() or not names:
-            yield UNKNOWN, 0.0
-            continue
-        total, n = np.zeros(len(names)), 0
-        for piece, starts in segments(codes):
-            found = ngrams(piece, starts)
-            for row in found:
-                total += table[row].sum(axis=0, dtype=np.float64)
-            n += int((found < BUCKETS).sum())
-        share = np.exp((total - total.max()) / np.sqrt(max(1, n)))
-        best = int(total.argmax())
-        yield names[best], float(share[best] / share.sum())
-
-
-def identify(docs: DataFrame, names: list[str], logs: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score of every row, from its whole text alone.
+        def batch(keys, counts):
+            columns = [pa.array(keys // BUCKETS, pa.int32()), pa.array(keys % BUCKETS, pa.int32()), pa.array(counts, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
-    A null text, and one without a letter, is UNKNOWN with score 0, and so is every text if no language was learned.
-    The score is the share of the best language after the log-likelihoods are divided by the square root of the
-    number of n-grams, so that long texts do not all score 1 exactly; ties go to the first language in order.
-    Null doc_ids stay null, repeated rows are scored each, other columns are ignored.
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lang, bucket, times in counted(rows_of(parts, "place", "text")):
+            keys, place = np.unique(np.concatenate([keys, lang * BUCKETS + bucket]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, times]), len(keys)).astype(np.int64)
+            if len(keys) > _HELD_COUNTS:
+                yield batch(keys, counts)
+                keys, counts = keys[:0], counts[:0]
+        yield batch(keys, counts)
+
+    counts = rows.select("place", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return [r.lang for r in seen], written(counts, "language-counts")
+
+
+def matrix(counts: DataFrame, first: int, end: int) -> np.ndarray:
+    """Log probabilities of the languages from first to end: a row for each language, a column for each bucket."""
+    found = counts.where(F.col("lang").between(first, end - 1)).toArrow()
+    totals = np.full((end - first, BUCKETS), SMOOTHING)
+    totals[found["lang"].to_numpy() - first, found["bucket"].to_numpy()] += found["n"].to_numpy()
+    return np.log(totals / totals.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def scored(texts: list[str | None], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-likelihood of each text (rows) under each language (columns), and the texts' numbers of n-grams.
+
+    The sparse counts of the batch are multiplied by the matrix language by language.
     """
-    model = docs.sparkSession.sparkContext.broadcast((names, logs))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    totals, n = np.zeros((len(texts), len(logs))), np.zeros(len(texts))
+    for rows, buckets, counts in counted((i, text or "") for i, text in enumerate(texts)):
+        n += np.bincount(rows, counts, len(texts))
+        for i, row in enumerate(logs):
+            totals[:, i] += np.bincount(rows, row[buckets] * counts, len(texts))
+    return totals, n
+
 
-    def score(parts):
-        def rows():
-            for doc_id, text in rows_of(parts, "doc_id", "text"):
-                yield doc_id, *next(_scored([text], *model.value))
+_STATE = pa.schema([("lang_place", pa.int32()), ("lang_top", pa.float64()), ("lang_rest", pa.float64())])
 
-        yield from batches(rows(), schema, 2048)
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+def _compared(docs: DataFrame, logs: np.ndarray, first: int, keep: list[str]) -> DataFrame:
+    """The columns to keep and _STATE: the place of the best language of those seen so far (-1 for a text without a
+    letter), its log-likelihood, and the sum over these languages of exp(difference to the best / square root of the
+    number of n-grams)."""
+    model = docs.sparkSession.sparkContext.broadcast(logs)
+    begun = "lang_place" in docs.columns
 
+    def compare(parts):
+        for piece in slices(parts):
+            totals, n = scored(piece.column("text").to_pylist(), model.value)
+            width = np.sqrt(np.maximum(1, n))
+            place = totals.argmax(axis=1)
+            top = totals[np.arange(len(totals)), place]
+            rest = np.exp((totals - top[:, None]) / width[:, None]).sum(axis=1)
+            place = place + first
+            if begun:
+                before, old, other = (piece.column(name).to_numpy() for name in _STATE.names)
+                best = np.maximum(top, old)
+                rest = rest * np.exp((top - best) / width) + other * np.exp((old - best) / width)
+                place, top = np.where(top > old, place, before), best
+            state = pa.array(np.where(_lettered(n), place, -1), pa.int32()), pa.array(top), pa.array(rest)
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *state], names=[*keep, *_STATE.names])
+
+    types = {"doc_id": "long", "text": "string"}
+    kept = ", ".join(f"{c} {types[c]}" for c in keep)
+    return docs.mapInArrow(compare, f"{kept}, lang_place int, lang_top double, lang_rest double")
+
+
+def _lettered(n: np.ndarray) -> np.ndarray:
+    """Whether texts with that many n-grams have a letter: without one, the pair of both ends is the only n-gram."""
+    return n > 1
+
+
+def identify(docs: DataFrame, names: list[str], counts: DataFrame) -> DataFrame:
+    """doc_id, lang_pred and score of every row, from its whole text alone.
 
-def recognised(docs: DataFrame, names: list[str], logs: np.ndarray) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is not UNKNOWN."""
-    model = docs.sparkSession.sparkContext.broadcast((names, logs))
+    A null text, and one without a letter, is UNKNOWN with score 0, and so is every text if no language was learned.
+    The score is the share of the best language after the log-likelihoods are divided by the square root of the
+    number of n-grams, so that long texts do not all score 1 exactly; ties go to the first language in order.
+    Null doc_ids stay null, repeated rows are scored each, other columns are ignored. BLOCK_LANGUAGES languages are
+    broadcast at a time; with more, the best so far of each row is written and compared with the next ones.
+    """
+    rows = docs.select("doc_id", "text")
+    if not names:
+        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for first in range(0, len(names), BLOCK_LANGUAGES):
+        end = min(len(names), first + BLOCK_LANGUAGES)
+        if first:
+            rows = written(rows, "language-best")
+        rows = _compared(rows, matrix(counts, first, end), first, ["doc_id", "text"] if end < len(names) else ["doc_id"])
+    known = docs.sparkSession.createDataFrame(list(enumerate(names)), "lang_place int, lang_pred string")
+    found = rows.join(F.broadcast(known), "lang_place", "left")
+    score = F.when(F.col("lang_place") >= 0, 1 / F.col("lang_rest")).otherwise(0.0)
+    return found.select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
+
+
+def recognised(docs: DataFrame, names: list[str], counts: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not UNKNOWN; further languages than the first ones
+    would change which language a text has, but not that it has one."""
+    if not names:
+        return docs.where(F.lit(False))
+    model = docs.sparkSession.sparkContext.broadcast(matrix(counts, 0, min(len(names), BLOCK_LANGUAGES)))
 
     def keep(parts):
         for piece in slices(parts):
-            found = _scored(piece.column("text").to_pylist(), *model.value)
-            yield piece.filter(pa.array([x != UNKNOWN for x, _ in found], pa.bool_()))
+            yield piece.filter(pa.array(_lettered(scored(piece.column("text").to_pylist(), model.value)[1])))
 
     return docs.mapInArrow(keep, docs.schema)
 

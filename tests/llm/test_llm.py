@@ -228,10 +228,58 @@ def test_language(spark, docs, empty):
 
 def test_language_learns_rare_languages(spark):
     rows = [(i, f"common words here {i}", "en") for i in range(3000)] + [(3000, "öæå þðø ßœé", "xx"), (None, "жщы эюя", "yy")]
-    names, logs = language_id.fit(ship(spark).createDataFrame(rows, "doc_id long, text string, lang string"), 300)
+    names, counts = language_id.fit(ship(spark).createDataFrame(rows, "doc_id long, text string, lang string"), 300)
     assert names == ["en", "xx", "yy"]
     asked = spark.createDataFrame([(1, "þðø œé"), (2, "жщы"), (3, "words here")], "doc_id long, text string")
-    assert [r.lang_pred for r in language_id.identify(asked, names, logs).orderBy("doc_id").collect()] == ["xx", "yy", "en"]
+    assert [r.lang_pred for r in language_id.identify(asked, names, counts).orderBy("doc_id").collect()] == ["xx", "yy", "en"]
+
+
+def plain_ngrams(text):
+    """Buckets of a text's n-grams, counted word by word in plain Python."""
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+        spread = ((h ^ h >> 15) * 0x2C1B3C6D + len(gram) * 0x297A2D39) & 0xFFFFFFFF
+        return (spread ^ spread >> 13) & (language_id.BUCKETS - 1)
+
+    found = Counts([bucket((0, 0))])
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split(" "):
+        codes = [0, *map(ord, word), 0] if word else []
+        for n in (1, 2, 3, 4):
+            found.update(bucket(g) for g in zip(*(codes[i:] for i in range(n))) if all(g[1:-1]) and (n > 1 or g[0]))
+    return found
+
+
+@pytest.mark.parametrize("block", [1, 2, 256])
+def test_language_against_plain_naive_bayes(spark, monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", block)
+    pool = {"aa": "abc de fgh", "bb": "abd ce fhg", "cc": "xyz abc öü", "dd": "жщ ab юя", "ee": "abc de fgh"}
+    pick = random.Random(3)
+    rows = [(i, " ".join(pick.choices(pool[lang].split(), k=pick.randint(1, 9))) + "! 1", lang) for i in range(90) for lang in pool]
+    asked = [(i, t) for i, t in enumerate([None, "", "12 !", "abc", "fhg ce ab", "ÖÜ xyz", "Жщ-юя, q", "abc " * 70_000, *(r[1] for r in rows[:40])])]
+    frame = ship(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), *language_id.fit(frame)).collect()
+    counts = {lang: sum((plain_ngrams(t) for _, t, x in rows if x == lang), Counts()) for lang in pool}
+    whole = {lang: counts[lang].total() + language_id.SMOOTHING * language_id.BUCKETS for lang in pool}
+    assert len(got) == len(asked)
+    for r in got:
+        text = asked[r.doc_id][1] or ""
+        grams = plain_ngrams(text)
+        logs = {x: sum(n * np.log((counts[x][g] + language_id.SMOOTHING) / whole[x]) for g, n in grams.items()) for x in pool}
+        top = max(logs.values())
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        assert logs[r.lang_pred] == pytest.approx(top, rel=1e-6)
+        assert r.score == pytest.approx(1 / sum(np.exp((v - top) / np.sqrt(grams.total())) for v in logs.values()), rel=1e-3)
+
+
+def test_language_has_no_bound_of_one_matrix(spark):
+    rows = [(i, f"{chr(0x4E00 + i)} w", f"l{i:04}") for i in range(600)]
+    frame = ship(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(frame, *language_id.fit(frame)).collect()
+    assert len(got) == 600 and all(r.lang_pred == f"l{r.doc_id:04}" for r in got)
 
 
 def test_language_segments():
