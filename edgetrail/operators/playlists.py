@@ -130,11 +130,21 @@ def live_advance(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("advanced", moved)
 
 
-def live_advance_summary(checked: DataFrame) -> DataFrame:
-    totals = checked.agg(
-        F.count("*").alias("playlists_checked"), F.count_if(~F.col("advanced")).alias("failed")
+def live_playlists(media: DataFrame, items: DataFrame) -> DataFrame:
+    """The media playlists of contents that the inventory counts as live, with the key that a snapshot goes by."""
+    live = items.where("content_type = 'live'").select("content_id")
+    return media.join(live, "content_id", "left_semi").withColumn("key", F.concat_ws("/", "content_id", "path"))
+
+
+def live_advance_summary(checked: DataFrame, items: DataFrame, min_live: int = 1) -> DataFrame:
+    """Whether all live playlists moved and the inventory has enough live contents."""
+    playlists_ = checked.select(F.lit(0).alias("live"), F.lit(1).alias("playlist"), F.when(F.col("advanced"), 0).otherwise(1).alias("stuck"))
+    contents = items.where("content_type = 'live'").select(F.lit(1).alias("live"), F.lit(0).alias("playlist"), F.lit(0).alias("stuck"))
+    totals = playlists_.unionByName(contents).agg(
+        *[F.count_if(F.col(c) == 1).alias(n) for c, n in (("live", "live_contents"), ("playlist", "playlists_checked"), ("stuck", "failed"))]
     )
-    return totals.withColumn("passed", (F.col("playlists_checked") > 0) & (F.col("failed") == 0))
+    passed = (F.col("live_contents") >= min_live) & (F.col("playlists_checked") > 0) & (F.col("failed") == 0)
+    return totals.withColumn("passed", passed)
 
 
 def catalog_difference(contents: DataFrame, files: DataFrame) -> DataFrame:

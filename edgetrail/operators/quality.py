@@ -20,6 +20,10 @@ DATASET_PREFIX = r"^tnsm_100lc_[0-9]{8}_.+$"
 SCENARIO = r"^[NA][1-7]$"
 CLIENT_ID = r"^lc[0-9]{3}$"
 
+# Fixed value: the form of a date-time with its zone; the calendar day is tested apart.
+DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt]([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)([.][0-9]+)?([Zz]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])$"
+MANIFEST_TIMES = ["scheduled_at", "started_at", "ended_at"]
+
 PROVENANCE = ["run_id", "scenario_id", "logical_client_id", "seed"]
 
 
@@ -67,8 +71,14 @@ def _dotted(n: Column) -> Column:
     return F.concat_ws(".", *parts)
 
 
+def is_date_time(text: Column) -> Column:
+    """Whether a text is a date-time with a zone and a day that exists; null for null."""
+    day = F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))
+    return F.when(text.isNotNull(), text.rlike(DATE_TIME) & day.isNotNull())
+
+
 def check_manifest(df: DataFrame) -> DataFrame:
-    """Broken manifest rules per run: (run_id, rule)."""
+    """Broken manifest rules per run: (run_id, rule). Times may be null or not be there as columns at all."""
     c = F.col
     rules = {
         "schema_version": F.coalesce(c("schema_version") == 1, F.lit(False)),
@@ -88,6 +98,7 @@ def check_manifest(df: DataFrame) -> DataFrame:
         "parameters": c("parameters").isNotNull(),
         "expected_request_count": F.coalesce(c("expected_request_count") >= 0, F.lit(True)),
         "observed_request_count": F.coalesce(c("observed_request_count") >= 0, F.lit(True)),
+        **{t: F.coalesce(is_date_time(c(t)), F.lit(True)) for t in MANIFEST_TIMES if t in df.columns},
     }
     broken = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]), lambda r: r.isNotNull())
     return df.select("run_id", F.explode(broken).alias("rule"))
@@ -138,6 +149,30 @@ def replay_difference(first: DataFrame, second: DataFrame) -> DataFrame:
     return only.unionByName(second.exceptAll(first).withColumn("side", F.lit("second")))
 
 
+def replay_summary(first: DataFrame, second: DataFrame, key: str, counters: Sequence[str] = ()) -> DataFrame:
+    """One row over two folds of a batch, ``second`` with the batch delivered twice: ``nodes`` of the first fold, how many
+    keys ``changed`` in a column that is no counter or are on one side only, and how many have all ``counters`` doubled."""
+    plain = [c for c in first.columns if c not in {key, *counters}]
+    both = first.withColumn("_side", F.lit(1)).unionByName(second.withColumn("_side", F.lit(2)))
+    values = F.struct(*[F.col(c) for c in plain]) if plain else F.lit(0)
+    side = {i: [F.max(F.when(F.col("_side") == i, F.col(c))) for c in counters] for i in (1, 2)}
+    doubled = F.lit(bool(counters))
+    for once, twice in zip(side[1], side[2], strict=True):
+        doubled = doubled & twice.eqNullSafe(once * 2)
+    keys = both.groupBy(key).agg(
+        F.count_if(F.col("_side") == 1).alias("in_first"),
+        F.count_if(F.col("_side") == 2).alias("in_second"),
+        F.min(values).eqNullSafe(F.max(values)).alias("same"),
+        doubled.alias("doubled"),
+    )
+    matched = (F.col("in_first") == 1) & (F.col("in_second") == 1)
+    return keys.agg(
+        F.coalesce(F.sum("in_first"), F.lit(0)).alias("nodes"),
+        F.count_if(~(matched & F.col("same"))).alias("changed"),
+        F.count_if(matched & F.col("doubled")).alias("doubled"),
+    )
+
+
 def split_leakage(df: DataFrame, key: str, split: str) -> DataFrame:
     """Keys that occur in more than one dataset split."""
     pairs = df.select(key, split).where(F.col(key).isNotNull()).distinct()

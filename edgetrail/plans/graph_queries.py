@@ -11,7 +11,7 @@ from ..operators.correlation import INPUTS as CORRELATION_INPUTS
 from ..operators.correlation import ip_correlation, ip_paths, ip_similarity, shared_tokens
 from ..operators.graph_rows import graph_rows
 from ..operators.normalize import REQUEST_COLUMNS, normalize_requests
-from ..operators.quality import replay_difference
+from ..operators.quality import replay_summary
 from ..session import materialize, scratch_path
 from ..sources import sinks
 from . import inputs
@@ -438,25 +438,24 @@ def legacy_graph_nodes(spark, sf_dir):
 
 # --- replay and sink -----------------------------------------------------------------------
 
-_REPLAYED = ("Edge", "ClientIP", "Content")
+# For the check: what counts as a node of each label, and which labels have counters that add up.
+_COUNTED = {"Content": "request_count", "ViewingSession": "request_count"}
+_REPLAY_CHECK = " UNION ALL ".join(
+    f"SELECT '{label}' AS label, CAST(count(*) AS BIGINT) AS nodes, 0 AS changed, {'count(*)' if label in _COUNTED else '0'} AS doubled FROM ({NODE_CHECKS[label]}) {label.lower()}_nodes"
+    for label in nodes.NODE_FOLDS
+)
 
 
-@query(
-    "replay_check",
-    over_rows("""SELECT 'Edge' AS label, 0 AS differing UNION ALL SELECT 'ClientIP', 0
-    UNION ALL SELECT 'Content', 2 * count(DISTINCT content_id) FROM grows WHERE content_id <> ''"""),
-)
+@query("replay_check", over_rows(_REPLAY_CHECK))
 def replay_check(spark, sf_dir):
-    """Fold a batch once and twice: plain nodes stay equal, counters double."""
-    columns = sorted({c for label in _REPLAYED for c in nodes.NODE_INPUTS[label]})
+    """Fold a batch once, and as two deliveries that are merged: nodes stay equal, counters double."""
+    columns = sorted({c for used in nodes.NODE_INPUTS.values() for c in used})
     rows = materialize(_rows(spark, sf_dir, columns), "replay-rows")
     out = None
-    for label in _REPLAYED:
-        fold = nodes.NODE_FOLDS[label]
+    for label, fold in nodes.NODE_FOLDS.items():
         once = materialize(fold.partial(rows), f"replay-{label}")
         twice = fold.merge(once.unionByName(once))
-        differing = replay_difference(fold.result(once), fold.result(twice))
-        part = differing.agg(F.count("*").alias("differing")).select(F.lit(label).alias("label"), "differing")
+        part = replay_summary(fold.result(once), fold.result(twice), fold.key, list(fold.sums)).select(F.lit(label).alias("label"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -173,7 +173,10 @@ SELECT CASE WHEN max(CASE WHEN event_type <> 'error' THEN event_type END) > 'pur
   user_id - 3 AS seed, CASE WHEN user_id % 9 = 0 THEN 'paused' ELSE 'completed' END AS status,
   'lc' || lpad(CAST(user_id % 100 AS VARCHAR(8)), 3, '0') || CASE WHEN user_id % 8 = 0 THEN ',lc' || lpad(CAST(user_id % 100 AS VARCHAR(8)), 3, '0')
      WHEN user_id % 8 = 1 THEN ',x1' ELSE ',lc999' END AS clients_text,
-  CAST(count(CASE WHEN event_type <> 'error' THEN 1 END) + user_id % 2 AS BIGINT) AS expected_request_count
+  CAST(count(CASE WHEN event_type <> 'error' THEN 1 END) + user_id % 2 AS BIGINT) AS expected_request_count,
+  CASE WHEN user_id % 11 = 0 THEN NULL ELSE '2024-02-' || lpad(CAST(day(ts) AS VARCHAR(8)), 2, '0') || 'T08:00:00Z' END AS scheduled_at,
+  '2024-01-' || lpad(CAST(day(ts) AS VARCHAR(8)), 2, '0') || CASE CAST(user_id % 10 AS INT) WHEN 1 THEN ' 10:00:00Z' WHEN 2 THEN 'T10:00:00' WHEN 3 THEN 't10:00:00.25+09:00' ELSE 'T10:00:00z' END AS started_at,
+  CASE CAST(user_id % 13 AS INT) WHEN 1 THEN '2023-02-29T10:00:00Z' WHEN 2 THEN '2024-02-29T10:00:60Z' WHEN 3 THEN '2024-01-02T24:00:00Z' WHEN 4 THEN '' ELSE '2024-01-31T23:59:59-00:30' END AS ended_at
 FROM events
 GROUP BY user_id, day(ts)
 """

@@ -54,6 +54,10 @@ _RULES = {
     "run_id": "length(run_id) < 8",
     "client_ids_unique": "len(list_distinct(string_split(clients_text, ','))) <> len(string_split(clients_text, ','))",
     "client_ids_pattern": "len([x for x in string_split(clients_text, ',') if NOT regexp_matches(x, '^lc[0-9]{3}$')]) > 0",
+    **{
+        t: f"NOT regexp_matches({t}, '{quality.DATE_TIME}') OR try_cast(left({t}, 10) AS DATE) IS NULL AND {t} IS NOT NULL"
+        for t in quality.MANIFEST_TIMES
+    },
 }
 
 
@@ -221,36 +225,40 @@ def inventory_summary(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
-    """Live playlists as read, and a later state in which two in three have moved on."""
-    media = playlists.media_playlists(inputs.load(spark, sf_dir, "playlists"))
-    live = media.where(F.col("content_id").startswith("live_")).withColumn("key", F.concat_ws("/", "content_id", "path"))
+    """The inventory, its live playlists as read, and a later state in which two in three have moved on."""
+    bodies, files = _inventory_inputs(spark, sf_dir)
+    items = playlists.inventory(bodies, files)
+    live = playlists.live_playlists(playlists.media_playlists(bodies), items)
     number = F.col("media_sequence")
     later = live.where(number % 70 != 0).withColumns({
         "media_sequence": F.when(number % 3 == 0, number + 1).otherwise(number),
         "last_segment": F.when(number % 3 == 1, F.concat(F.lit("n"), "last_segment")).otherwise(F.col("last_segment")),
     })
-    return live, later
+    return items, live, later
 
 
-_ADVANCE = """, live AS (SELECT content_id || '/' || path AS key, * FROM media WHERE starts_with(content_id, 'live_')),
+_ADVANCE = """, live AS (SELECT content_id || '/' || path AS key, * FROM media WHERE content_id IN (SELECT content_id FROM items WHERE content_type = 'live')),
 later AS (SELECT key, CASE WHEN media_sequence % 3 = 0 THEN media_sequence + 1 ELSE media_sequence END AS s,
   CASE WHEN media_sequence % 3 = 1 THEN 'n' || last_segment ELSE last_segment END AS g FROM live WHERE media_sequence % 70 <> 0),
 checked AS (SELECT live.key, live.media_sequence AS before_sequence, live.last_segment AS before_last_segment, later.s AS after_sequence, later.g AS after_last_segment,
   coalesce(later.s > live.media_sequence, false) OR coalesce(later.g <> live.last_segment, false) AS advanced FROM live LEFT JOIN later USING (key))"""
 
 
-@query("live_advance", _media_sql("SELECT 1").replace(") SELECT 1", f"){_ADVANCE} SELECT * FROM checked"))
+@query("live_advance", _inventory_sql("SELECT 1").replace(") SELECT 1", f"){_ADVANCE} SELECT * FROM checked"))
 def live_advance(spark, sf_dir):
-    return playlists.live_advance(*_snapshots(spark, sf_dir))
+    _, live, later = _snapshots(spark, sf_dir)
+    return playlists.live_advance(live, later)
 
 
 @query(
     "live_advance_summary",
-    _media_sql("SELECT 1").replace(") SELECT 1", f"""){_ADVANCE} SELECT count(*) AS playlists_checked, count(*) FILTER (WHERE NOT advanced) AS failed,
-      count(*) > 0 AND count(*) FILTER (WHERE NOT advanced) = 0 AS passed FROM checked"""),
+    _inventory_sql("SELECT 1").replace(") SELECT 1", f"""){_ADVANCE} SELECT l.n AS live_contents, c.n AS playlists_checked, c.failed,
+      l.n >= 3 AND c.n > 0 AND c.failed = 0 AS passed FROM (SELECT count(*) AS n FROM items WHERE content_type = 'live') l,
+      (SELECT count(*) AS n, count(*) FILTER (WHERE NOT advanced) AS failed FROM checked) c"""),
 )
 def live_advance_summary(spark, sf_dir):
-    return playlists.live_advance_summary(playlists.live_advance(*_snapshots(spark, sf_dir)))
+    items, live, later = _snapshots(spark, sf_dir)
+    return playlists.live_advance_summary(playlists.live_advance(live, later), items, 3)
 
 
 @query(

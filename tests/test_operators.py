@@ -73,6 +73,22 @@ def test_replay_difference(spark):
     assert {(r["v"], r["side"]) for r in quality.replay_difference(a, b).collect()} == {("y", "first"), ("z", "second")}
 
 
+def test_replay_summary(spark):
+    schema = "k string, v string, n long, m long"
+    once = spark.createDataFrame([("a", "x", 1, 0), ("b", None, 2, 3), (None, "z", 5, None), ("gone", "x", 1, 1)], schema)
+    twice = spark.createDataFrame([("a", "x", 2, 0), ("b", "y", 4, 6), (None, "z", 10, None), ("new", "x", 2, 2)], schema)
+    assert tuple(quality.replay_summary(once, twice, "k", ["n", "m"]).first()) == (4, 3, 3)
+    assert tuple(quality.replay_summary(once.select("k", "v"), once.select("k", "v"), "k").first()) == (4, 0, 0)
+    assert tuple(quality.replay_summary(once.limit(0), twice.limit(0), "k", ["n"]).first()) == (0, 0, 0)
+
+
+def test_date_times(spark):
+    good = ["2024-02-29T23:59:60Z", "2024-01-01t00:00:00.123+09:00", "0001-01-01T00:00:00z"]
+    bad = ["", "2024-01-01", "2023-02-29T00:00:00Z", "2024-13-01T00:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01T00:00:00", "2024-01-01 00:00:00Z", "2024-01-01T00:00:00+24:00", "x2024-01-01T00:00:00Z"]
+    rows = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string").select("t", quality.is_date_time(F.col("t")).alias("ok")).collect()
+    assert {r["t"]: r["ok"] for r in rows} == {**dict.fromkeys(good, True), **dict.fromkeys(bad, False), None: None}
+
+
 def test_broadcast_only_when_small(spark):
     df = spark.range(100)
     assert "hint" in joins.broadcast_if_small(df, 100)._jdf.queryExecution().analyzed().toString().lower()

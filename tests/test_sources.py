@@ -70,7 +70,18 @@ def test_live_advance(spark):
     after = spark.createDataFrame([("a", 11, "x"), ("b", 10, "x"), ("d", None, "y")], schema)
     checked = pl.live_advance(before, after)
     assert {r["key"]: r["advanced"] for r in checked.collect()} == {"a": True, "b": False, "c": False, "d": True}
-    assert pl.live_advance_summary(checked).first()["passed"] is False
+    items = spark.createDataFrame([("a", "live"), ("b", "live"), ("v", "vod")], "content_id string, content_type string")
+    assert tuple(pl.live_advance_summary(checked, items).first()) == (2, 4, 2, False)
+    moved = checked.where("advanced")
+    assert tuple(pl.live_advance_summary(moved, items, 2).first()) == (2, 2, 0, True)
+    assert tuple(pl.live_advance_summary(moved, items, 3).first()) == (2, 2, 0, False)
+    assert tuple(pl.live_advance_summary(moved.limit(0), items.limit(0), 0).first()) == (0, 0, 0, False)
+
+
+def test_live_playlists_are_those_of_live_contents(spark):
+    media = spark.createDataFrame([("a", "720p/p.m3u8"), ("v", "720p/p.m3u8"), (None, "x")], "content_id string, path string")
+    items = spark.createDataFrame([("a", "live"), ("v", "vod")], "content_id string, content_type string")
+    assert [r["key"] for r in pl.live_playlists(media, items).collect()] == ["a/720p/p.m3u8"]
 
 
 def test_graph_sink(spark, logs, tmp_path):
