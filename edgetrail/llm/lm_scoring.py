@@ -7,9 +7,11 @@ smaller in proportion to its tokens, so that unseen words weigh alike in both. c
 
 Documents are dealt to blocks by a hash, and labels meet them there; a doc_id is dealt to SALTS blocks. A block numbers
 its own words and counts them. Spark sums the counts of a word over the blocks, deals ids and joins both back to the
-blocks that hold the word. A block then counts its own bigrams once; the counts of a bigram are summed over all blocks
-by a window over the bigram; and the sums of those in several blocks go back, and documents are scored there. A word or a bigram has at
-most one row per block, so no key is hot. Words and bigrams thus grow with the corpus and are never gathered in one place.
+blocks that hold the word. A block then counts its own bigrams once and deals them to buckets, of which there are as
+many as blocks. It sends a bucket one run: its bigrams in order as differences, with their counts, as compressed planes
+of bytes. The bucket sums its runs and sends each block the sums in the order of that block's run, so no bigram travels
+back by name, and documents are scored there. A word has at most one row and a bigram one entry per block, so no key is
+hot. Words and bigrams thus grow with the corpus and are never gathered in one place.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgetrail.llm.common import written
@@ -34,7 +36,7 @@ COUNTS = ("background", "target", "background_context", "target_context")
 _HELD = pa.schema(
     [("block", pa.int32()), ("doc_id", pa.int64()), ("wanted", pa.bool_()), ("ids", pa.binary()), ("place", pa.int32()), ("word", pa.string()), *((c, pa.int64()) for c in COUNTS)]
 )
-_PAIRS = pa.schema([("block", pa.int32()), ("pair", pa.int64()), ("background", pa.int32()), ("target", pa.int32())])
+_RUNS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("run", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
 
 
@@ -47,6 +49,34 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _coded(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers from 0 up, of one length, as compressed planes of their bytes."""
+    return pa.compress(np.stack(columns).astype("<u8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), codec="zstd", asbytes=True)
+
+
+def _decoded(blob: bytes, columns: int, n: int) -> np.ndarray:
+    """The columns that _coded was given, as rows of an array."""
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=columns * n * 8, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(columns, 8, n).transpose(0, 2, 1)).view("<u8").reshape(columns, n).astype(np.int64)
+
+
+def _merged(runs: pa.Table) -> pa.Table:
+    """The runs of one bucket, each entry with the sums over all of them in place of its own counts."""
+    sizes = runs["n"].to_pylist()
+    keys, counts = np.empty(sum(sizes), np.int64), np.empty((2, sum(sizes)), np.int64)
+    ends = np.cumsum(sizes)
+    for blob, n, end in zip(runs["run"], sizes, ends, strict=True):
+        steps, *own = _decoded(blob.as_py(), 3, n)
+        keys[end - n : end], counts[:, end - n : end] = np.cumsum(steps), own
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(keys)))
+    sums = np.add.reduceat(counts[:, order], first, axis=1)
+    out = [_coded(*sums[:, place[end - n : end]]) for n, end in zip(sizes, ends, strict=True)]
+    return pa.table([runs["block"], runs["bucket"], runs["n"], pa.chunked_array([pa.array(out, pa.binary())])], schema=_RUNS)
+
+
 def _read_block(key, table: pa.Table, labels: pa.Table) -> pa.Table:
     """The documents of a block as places of words, most frequent first, and its words with their counts."""
     target_ids = set(labels.column("doc_id").to_pylist())
@@ -145,15 +175,29 @@ def score_documents(docs: DataFrame, wanted: DataFrame, vocabulary: int | None =
         count[np.searchsorted(pair, seen), 1] = m
         return pair, count
 
+    def dealt_pairs(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Each bigram's key in its bucket, the order by bucket and key, and the buckets with their spans in that order.
+
+        Neither the bigrams that share their first word nor those that share their second meet in one bucket.
+        """
+        before, after = pair // width, pair % width
+        bucket, keys = (before + after) % blocks, before * -(-width // blocks) + after // blocks
+        order = np.lexsort((keys, bucket))
+        held, first = np.unique(bucket[order], return_index=True)
+        ends = np.append(first, len(pair))[1:]
+        return keys, order, list(zip(held.tolist(), first.tolist(), ends.tolist(), strict=True))
+
     def count_block(key, table):
         texts, words = parts_of(table)
         pair, count = counted_pairs(texts, words["id"].to_numpy())
-        return pa.table([pa.array(np.full(len(pair), key[0].as_py(), np.int32)), pa.array(pair), *(pa.array(c.astype(np.int32)) for c in count.T)], schema=_PAIRS)
+        keys, order, spans = dealt_pairs(pair)
+        keys, count = keys[order], count[order]
+        runs = [_coded(np.diff(keys[a:b], prepend=0), *count[a:b].T) for _, a, b in spans]
+        columns = [np.full(len(spans), key[0].as_py()), [s[0] for s in spans], [b - a for _, a, b in spans], runs]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _RUNS, strict=True)], schema=_RUNS)
 
-    own = whole.applyInArrow(count_block, "block int, pair long, background int, target int")
-    over = Window.partitionBy("pair")
-    summed = own.select("block", "pair", F.sum("background").over(over).alias("background"), F.sum("target").over(over).alias("target"), F.count("*").over(over).alias("n"))
-    summed = summed.where("n > 1").drop("n")  # a bigram of one block has that block's counts
+    run = "block int, bucket int, n int, run binary"
+    summed = whole.applyInArrow(count_block, run).groupBy("bucket").applyInArrow(_merged, run)
 
     def score_block(_, table: pa.Table, sums: pa.Table) -> pa.Table:
         texts, words = parts_of(table)
@@ -162,11 +206,14 @@ def score_documents(docs: DataFrame, wanted: DataFrame, vocabulary: int | None =
         named, first = np.unique(ids, return_index=True)
         named = np.append(named, size + 1)
         pair, count = counted_pairs(texts, ids)
-        shared = np.searchsorted(pair, sums["pair"].to_numpy())
+        _, order, spans = dealt_pairs(pair)
+        place = {bucket: (a, b) for bucket, a, b in spans}
+        for bucket, n, blob in zip(sums["bucket"].to_pylist(), sums["n"].to_pylist(), sums["run"], strict=True):
+            a, b = place[bucket]
+            count[order[a:b]] = _decoded(blob.as_py(), 2, n).T
         before, after = np.searchsorted(named, pair // width), np.searchsorted(named, pair % width)
         loss = np.empty((len(pair), 2))
         for i, name in enumerate(("background", "target")):
-            count[shared, i] = sums[name].to_numpy()
             mass = MASS * total[i] / total[0] if total[i] else MASS
             word = np.append(words[name].to_numpy()[first], 0)
             context = np.append(words[f"{name}_context"].to_numpy()[first], starts[i])

@@ -408,6 +408,23 @@ def test_language_models_know_every_word(spark, monkeypatch):
     assert all(r.score < 0 for r in got[68:]) and all(r.score > 0 for r in got[:68])
 
 
+def test_language_models_of_wordless_and_very_long_texts(spark):
+    """A block without a bigram sends no run; a text of 300,000 words is scored whole."""
+    ship(spark)
+    texts = [None, "", "!!", "...", "one two " * 150_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(lm_scoring.score_documents(frame.where("doc_id < 4"), frame.select("doc_id")).collect())
+    assert [(r.n_tokens, r.loss_target, r.score) for r in got] == [(0, None, None)] * 4
+    got = sorted(lm_scoring.score_documents(frame, frame.select("doc_id")).collect())
+    assert [r.n_tokens for r in got] == [0, 0, 0, 0, 300_000] and got[4].score == 0
+
+
+def test_language_model_runs():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2**62, 1000), rng.integers(0, 3, 1000)
+    assert np.array_equal(lm_scoring._decoded(lm_scoring._coded(a, b), 2, 1000), [a, b])
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/">menu</a></li></ul></nav><article><h1>Title
  here</h1><p><b>First &amp; second.<br><p>Third   one.</p><script>var a = "<p>no</p>";</script><div class="ad">buy</div></article><footer>&copy;</footer>"""
 
