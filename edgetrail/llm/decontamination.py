@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetrail.llm.common import batches, rows_of, slices
+from edgetrail.llm.common import batches, rows_of, slices, tidied
 from edgetrail.llm.shingles import hashed, plain_words, shingle_set, shingles
 
 SKETCH = 16
@@ -94,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold
 
             yield from batches(rows(), _PAIRS)
 
-        return texts.mapInArrow(search, "doc_id long, item_id long, item_shingles long, shared long, containment double")
+        return texts.mapInArrow(tidied(search), "doc_id long, item_id long, item_shingles long, shared long, containment double")
 
     return reduce(DataFrame.unionByName, map(pairs, _blocks(benchmark, size)))
 
@@ -108,7 +108,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float
                 texts = piece.column("text").to_pylist()
                 yield piece.filter(pa.array([next(index.value.found(t or "", threshold), None) is None for t in texts], pa.bool_()))
 
-        return rest.mapInArrow(keep, docs.schema)
+        return rest.mapInArrow(tidied(keep), docs.schema)
 
     return reduce(without, _blocks(benchmark, size), docs)
 

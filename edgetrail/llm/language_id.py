@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetrail.llm.common import rows_of, slices, written
+from edgetrail.llm.common import rows_of, slices, tidied, written
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[list[st
                 keys, counts = keys[:0], counts[:0]
         yield batch(keys, counts)
 
-    counts = rows.select("place", "text").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.select("place", "text").mapInArrow(tidied(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return [r.lang for r in seen], written(counts, "language-counts")
 
 
@@ -173,7 +173,7 @@ def _compared(docs: DataFrame, logs: np.ndarray, first: int, keep: list[str]) ->
 
     types = {"doc_id": "long", "text": "string"}
     kept = ", ".join(f"{c} {types[c]}" for c in keep)
-    return docs.mapInArrow(compare, f"{kept}, lang_place int, lang_top double, lang_rest double")
+    return docs.mapInArrow(tidied(compare), f"{kept}, lang_place int, lang_top double, lang_rest double")
 
 
 def _lettered(n: np.ndarray) -> np.ndarray:
@@ -215,7 +215,7 @@ def recognised(docs: DataFrame, names: list[str], counts: DataFrame) -> DataFram
         for piece in slices(parts):
             yield piece.filter(pa.array(_lettered(scored(piece.column("text").to_pylist(), model.value)[1])))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidied(keep), docs.schema)
 
 
 def is_held_out() -> F.Column:

@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetrail.llm.common import written
+from edgetrail.llm.common import trim, written
 from edgetrail.llm.shingles import plain_words
 
 MIX = 0.7
 MASS = 1_000.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 SALTS = 16
 COUNTS = ("background", "target", "background_context", "target_context")
 # A row is a document with its words' places in the block, or a word of the block (place is not null).
@@ -62,6 +62,7 @@ def _decoded(blob: bytes, columns: int, n: int) -> np.ndarray:
 
 def _merged(runs: pa.Table) -> pa.Table:
     """The runs of one bucket, each entry with the sums over all of them in place of its own counts."""
+    trim()
     sizes = runs["n"].to_pylist()
     keys, counts = np.empty(sum(sizes), np.int64), np.empty((2, sum(sizes)), np.int64)
     ends = np.cumsum(sizes)
@@ -79,6 +80,7 @@ def _merged(runs: pa.Table) -> pa.Table:
 
 def _read_block(key, table: pa.Table, labels: pa.Table) -> pa.Table:
     """The documents of a block as places of words, most frequent first, and its words with their counts."""
+    trim()
     target_ids = set(labels.column("doc_id").to_pylist())
     ids = table.column("doc_id").to_pylist()
     wanted = [d in target_ids for d in ids]
@@ -188,6 +190,7 @@ def score_documents(docs: DataFrame, wanted: DataFrame, vocabulary: int | None =
         return keys, order, list(zip(held.tolist(), first.tolist(), ends.tolist(), strict=True))
 
     def count_block(key, table):
+        trim()
         texts, words = parts_of(table)
         pair, count = counted_pairs(texts, words["id"].to_numpy())
         keys, order, spans = dealt_pairs(pair)
@@ -200,6 +203,7 @@ def score_documents(docs: DataFrame, wanted: DataFrame, vocabulary: int | None =
     summed = whole.applyInArrow(count_block, run).groupBy("bucket").applyInArrow(_merged, run)
 
     def score_block(_, table: pa.Table, sums: pa.Table) -> pa.Table:
+        trim()
         texts, words = parts_of(table)
         ids = words["id"].to_numpy()
         # Ids of the block's words in order, then the mark of a start, which is greater than all.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgetrail.llm.common import batches, rows_of, written
+from edgetrail.llm.common import batches, rows_of, tidied, written
 from edgetrail.llm.shingles import hashed, mixed, shingle_set, spaced_words
 
 BANDS, ROWS = 42, 6
@@ -94,7 +94,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, mark: Col
 
     rows = docs.select("doc_id", "text")
     marked = docs.select("doc_id", "text", (F.lit(None).cast("long") if mark is None else mark).alias("mark"))
-    signed = written(marked.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, keys array<long>, sketch array<long>, mark long"), "signatures")
+    signed = written(marked.mapInArrow(tidied(sign), "doc_id long, n long, set_a long, set_b long, keys array<long>, sketch array<long>, mark long"), "signatures")
     classes = written(
         signed.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("set_a", "set_b")
@@ -185,7 +185,7 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     # A repeated doc_id with several texts has several sets; all of them are compared and the best counts. Equal rows
     # are one here, by the partitioning of the join.
     texts = rows.where("text IS NOT NULL").join(ends, rows.doc_id == ends.least).select("least", "cls", "text").distinct()
-    items = written(texts.select("cls", "text").mapInArrow(sets, "cls long, items array<long>"), "sets")
+    items = written(texts.select("cls", "text").mapInArrow(tidied(sets), "cls long, items array<long>"), "sets")
     both = (
         pairs.select("a", "b")
         .join(items.select(F.col("cls").alias("b"), F.col("items").alias("b_items")), "b")
