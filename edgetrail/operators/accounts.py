@@ -31,18 +31,25 @@ def sessions_with_users(sessions: DataFrame, users: DataFrame, as_of: datetime,
     return chosen.join(names, "user_id")
 
 
-def resolve_sessions(
+def resolved_requests(
     requests: DataFrame, sessions: DataFrame, users: DataFrame, as_of: datetime, token: str = "session_token"
-) -> tuple[DataFrame, DataFrame]:
-    """Requests with the active session and user of their token, and requests without one.
+) -> DataFrame:
+    """All requests, with the active session and user of their token where there is one, and a flag ``resolved``.
 
     ``token`` is the session column to look up: ``session_token`` or ``refresh_token``.
     """
     people = users.select(F.col("id").alias("user_id"), "email", "username", "subscription_plan")
-    known = active_sessions(sessions, as_of).join(people, "user_id")
-    found = requests.join(known, token)
-    missing = requests.join(known.select(token), token, "left_anti")
-    return found, missing
+    known = active_sessions(sessions, as_of).join(people, "user_id").withColumn("resolved", F.lit(True))
+    return requests.join(known, token, "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
+
+def resolve_sessions(
+    requests: DataFrame, sessions: DataFrame, users: DataFrame, as_of: datetime, token: str = "session_token"
+) -> tuple[DataFrame, DataFrame]:
+    """``resolved_requests`` in two: requests with a session and user, and requests without one."""
+    found = resolved_requests(requests, sessions, users, as_of, token)
+    known = found.where("resolved").drop("resolved")
+    return known, found.where("NOT resolved").select(token, *(c for c in requests.columns if c != token))
 
 
 def latest_active_session(users: DataFrame, sessions: DataFrame, as_of: datetime) -> DataFrame:

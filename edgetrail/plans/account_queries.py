@@ -57,9 +57,8 @@ _LOOKUPS = "SELECT 'session_' || CAST(l_orderkey + l_linenumber % 3 AS VARCHAR(2
 def resolve_sessions(spark, sf_dir):
     users, sessions, now = _tables(spark, sf_dir)
     inputs.given(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    found, missing = accounts.resolve_sessions(spark.sql(_LOOKUPS), sessions, users, now)
-    columns = ["request", "session_token", "user_id", "email", "subscription_plan"]
-    return found.select(columns).unionByName(missing.select("request", "session_token"), allowMissingColumns=True)
+    found = accounts.resolved_requests(spark.sql(_LOOKUPS), sessions, users, now)
+    return found.select("request", "session_token", "user_id", "email", "subscription_plan")
 
 
 @query(

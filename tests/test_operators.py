@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,19 @@ def test_a_referrer_of_everyone_makes_no_address_pairs(spark):
     assert _largest_output(found) <= 10 * n
     pairs = [(r["ip1"], r["ip2"], r["shared_tokens"], r["shared_referers"], r["score"]) for r in found.orderBy("ip1").collect()]
     assert pairs == [("a0", "a1", 1, 1, 1.0), ("a1", "a0", 1, 1, 1.0)]
+
+
+def test_resolve_sessions_in_one_join(spark):
+    """Requests of an expired session, of a session without a user and without a token stay unresolved, each once."""
+    sessions = spark.sql("""SELECT id, user_id, token AS session_token, 'r' || token AS refresh_token, active AS is_active, timestamp'2024-01-01' + make_interval(0, 0, 0, days) AS expires_at
+      FROM VALUES (1, 1, 'a', true, 9), (2, 1, 'b', true, 1), (3, 2, 'c', false, 9), (4, 9, 'd', true, 9) t(id, user_id, token, active, days)""")
+    users = spark.sql("SELECT id, 'm' || id AS email, 'n' || id AS username, 'free' AS subscription_plan FROM VALUES (1), (2) t(id)")
+    asked = spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'a'), (3, 'b'), (4, 'c'), (5, 'd'), (6, null), (7, 'zz') t(request, session_token)")
+    as_of = datetime(2024, 1, 5)
+    found, missing = accounts.resolve_sessions(asked, sessions.drop("refresh_token"), users, as_of)
+    assert sorted((r.request, r.user_id) for r in found.collect()) == [(1, 1), (2, 1)]
+    assert sorted(r.request for r in missing.collect()) == [3, 4, 5, 6, 7] and missing.columns == ["session_token", "request"]
+    refreshed = accounts.resolved_requests(asked.selectExpr("request", "'r' || session_token AS refresh_token"), sessions.drop("session_token"), users, as_of, "refresh_token")
+    assert sorted((r.request, r.resolved) for r in refreshed.collect()) == [(i, i < 3) for i in range(1, 8)]
+    plan = refreshed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # sessions with users, and requests with both
