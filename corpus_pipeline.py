@@ -16,7 +16,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; those without a letter go."""
+    """Documents in which a language is recognised, with it as their lang, by which they are packed; those without a letter go."""
     return language_id.recognised(docs, *language_id.fit(docs.where(~language_id.is_held_out())))
 
 
@@ -38,8 +38,8 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens, with their ids."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    """Pieces of sequences of at most 1024 tokens, with their ids; a sequence holds documents of one language."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), within="lang")
 
 
 STAGES = [

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgetrail.llm.common import rows_of, slices, tidied, written
 
@@ -171,9 +172,8 @@ def _compared(docs: DataFrame, logs: np.ndarray, first: int, keep: list[str]) ->
             state = pa.array(np.where(_lettered(n), place, -1), pa.int32()), pa.array(top), pa.array(rest)
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *state], names=[*keep, *_STATE.names])
 
-    types = {"doc_id": "long", "text": "string"}
-    kept = ", ".join(f"{c} {types[c]}" for c in keep)
-    return docs.mapInArrow(tidied(compare), f"{kept}, lang_place int, lang_top double, lang_rest double")
+    state = T.StructType().add("lang_place", T.IntegerType()).add("lang_top", T.DoubleType()).add("lang_rest", T.DoubleType())
+    return docs.mapInArrow(tidied(compare), T.StructType([*docs.select(keep).schema, *state]))
 
 
 def _lettered(n: np.ndarray) -> np.ndarray:
@@ -193,29 +193,29 @@ def identify(docs: DataFrame, names: list[str], counts: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     if not names:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    found = _best(rows, names, counts, ["doc_id"])
+    score = F.when(F.col("lang_place") >= 0, 1 / F.col("lang_rest")).otherwise(0.0)
+    return found.select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
+
+
+def _best(rows: DataFrame, names: list[str], counts: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep with _STATE over all languages and the best one's name, null for a text without a letter."""
     for first in range(0, len(names), BLOCK_LANGUAGES):
         end = min(len(names), first + BLOCK_LANGUAGES)
         if first:
             rows = written(rows, "language-best")
-        rows = _compared(rows, matrix(counts, first, end), first, ["doc_id", "text"] if end < len(names) else ["doc_id"])
-    known = docs.sparkSession.createDataFrame(list(enumerate(names)), "lang_place int, lang_pred string")
-    found = rows.join(F.broadcast(known), "lang_place", "left")
-    score = F.when(F.col("lang_place") >= 0, 1 / F.col("lang_rest")).otherwise(0.0)
-    return found.select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
+        rows = _compared(rows, matrix(counts, first, end), first, list(dict.fromkeys([*keep, "text"])) if end < len(names) else keep)
+    known = rows.sparkSession.createDataFrame(list(enumerate(names)), "lang_place int, lang_pred string")
+    return rows.join(F.broadcast(known), "lang_place", "left")
 
 
 def recognised(docs: DataFrame, names: list[str], counts: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is not UNKNOWN; further languages than the first ones
-    would change which language a text has, but not that it has one."""
+    """The rows of docs, with all their columns, whose language is not UNKNOWN; ``lang`` is then the recognised one,
+    whatever it was before."""
     if not names:
         return docs.where(F.lit(False))
-    model = docs.sparkSession.sparkContext.broadcast(matrix(counts, 0, min(len(names), BLOCK_LANGUAGES)))
-
-    def keep(parts):
-        for piece in slices(parts):
-            yield piece.filter(pa.array(_lettered(scored(piece.column("text").to_pylist(), model.value)[1])))
-
-    return docs.mapInArrow(tidied(keep), docs.schema)
+    found = _best(docs, names, counts, docs.columns).where("lang_place >= 0")
+    return found.withColumn("lang", F.col("lang_pred")).select(list(dict.fromkeys([*docs.columns, "lang"])))
 
 
 def is_held_out() -> F.Column:

@@ -29,21 +29,22 @@ PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("tail", pa.binary()), ("terms", pa.binary()), ("times", pa.binary()), ("sketch", pa.int64())])
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.string()), ("n", pa.int64()), ("body", pa.binary()), ("tail", pa.binary()), ("terms", pa.binary()), ("times", pa.binary()), ("sketch", pa.int64())])
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, within: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its ids and then END_ID; a null or empty text is END_ID alone. Each id lies in exactly one
     piece and offsets in a sequence are gapless. A null doc_id stays null, repeated rows are packed each, other
-    columns are ignored, and an empty table gives no piece.
+    columns are ignored, and an empty table gives no piece. With within, a text column, a sequence holds documents
+    of one of its values only (null is one): shards and the open window end where the value changes.
     """
     sc = docs.sparkSession.sparkContext
     text = tokenizer_text(tokenizer_path)
     vocabulary = sc.broadcast(text)
-    tokens = written(docs.select("doc_id", "text").mapInArrow(_tokenize(vocabulary, window), "doc_id long, n long, body binary, tail binary, terms binary, times binary, sketch long"), "tokens")
-    tails = tokens.where(F.length("tail") > 0).select("doc_id", "n", "tail", "terms", "times", "sketch")
+    tokens = written(docs.select("doc_id", "text", F.col(within).alias("part") if within else F.lit(None).cast("string").alias("part")).mapInArrow(_tokenize(vocabulary, window), "doc_id long, part string, n long, body binary, tail binary, terms binary, times binary, sketch long"), "tokens")
+    tails = tokens.where(F.length("tail") > 0).select("doc_id", "part", "n", "tail", "terms", "times", "sketch")
     counts = tokens.select("n", "terms").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     # At most one row per id of the vocabulary, and two for totals.
     total = {r.term: r.n for r in counts if r.term < 0}
@@ -59,7 +60,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024) ->
         "doc_id", "start", F.expr(f"substring(body, CAST(start * 4 + 1 AS INT), {window * 4})").alias("ids"), F.col("n").alias("doc_tokens"),
         (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    packed = tails.repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id", "n", "tail", "terms", "times").mapInArrow(_packer(index, window), PIECES)
+    order = [*(["part"] if within else []), "sketch", "doc_id"]
+    packed = tails.repartitionByRange(*order).sortWithinPartitions(*order, "n", "tail", "terms", "times").mapInArrow(_packer(index, window), PIECES)
     return bodies.unionByName(packed)
 
 
@@ -70,13 +72,13 @@ def _tokenize(vocabulary, window: int):
         end = np.asarray([END_ID], "<u4").tobytes()
 
         def rows():
-            for doc_id, text in rows_of(parts, "doc_id", "text"):
+            for doc_id, part, text in rows_of(parts, "doc_id", "part", "text"):
                 ids = (encoder.ids(text) if text else b"") + end
                 n = len(ids) // 4
                 cut = (n - n % window) * 4
                 terms, times = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
                 sketch = int(shuffled[terms & 0xFFFFF].min())
-                yield doc_id, n, ids[:cut], ids[cut:], terms.tobytes(), times.astype("<u4").tobytes(), sketch
+                yield doc_id, part, n, ids[:cut], ids[cut:], terms.tobytes(), times.astype("<u4").tobytes(), sketch
 
         yield from batches(rows(), _TOKENS, 256)
 
@@ -142,16 +144,26 @@ def _packer(index, window: int):
                 yield from closed()
 
         def rows():
-            nonlocal opened, seq
             held: list[tuple] = []
-            for doc_id, n, tail, terms, times in rows_of(parts, "doc_id", "n", "tail", "terms", "times"):
+            now = None
+            for doc_id, part, n, tail, terms, times in rows_of(parts, "doc_id", "part", "n", "tail", "terms", "times"):
+                if part != now:
+                    yield from shard(held)
+                    yield from ended()
+                    held, now = [], part
                 ids = np.frombuffer(tail, "<u4")
                 held.append((doc_id, n - len(ids), ids, n, np.frombuffer(terms, "<u4"), np.frombuffer(times, "<u4")))
                 if len(held) == SHARD_TAILS:
                     yield from shard(held)
                     held = []
             yield from shard(held)
+            yield from ended()
+
+        def ended():
+            """The open window in sequences of powers of two."""
+            nonlocal opened, rest
             left, power = [*opened, *([rest] if rest else [])], window
+            opened, rest = [], None
             while left:
                 total = sum(len(p[2]) for p in left)
                 while power > total:
