@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import dealt, spread
 
 GIVEN = ["events", "customer", "orders", "lineitem", "part", "pages"]
 
@@ -262,11 +262,16 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived input table; names of the given tables resolve to Parquet."""
+def load(spark: SparkSession, sf_dir: str, name: str, tasks: int | None = None) -> DataFrame:
+    """One derived input table; names of the given tables resolve to Parquet.
+
+    Events are narrow, and the records made of them cost much more to parse than to move: they are dealt over
+    ``tasks`` partitions.
+    """
     for table in GIVEN:
         if table in SQL[name]:
-            given(spark, sf_dir, table).createOrReplaceTempView(table)
+            rows = dealt(spark.read.parquet(f"{sf_dir}/events.parquet"), tasks) if table == "events" else given(spark, sf_dir, table)
+            rows.createOrReplaceTempView(table)
     return spark.sql(SQL[name])
 
 

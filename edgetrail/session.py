@@ -52,6 +52,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A narrow table dealt evenly over ``tasks`` partitions, by default as many as there are cores.
+
+    However large its files are, a table of few row groups is read by as few tasks, and all that is derived from
+    its rows would run in them.
+    """
+    return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a local one only where driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
