@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .folds import ORDER
 from .joins import apart
 
@@ -176,7 +177,11 @@ def edges_unified(rows: DataFrame) -> DataFrame:
 
 
 def graph_statistics(rows: DataFrame) -> DataFrame:
-    """Node count per label and the number of relationships, from one pass over the rows."""
+    """Node count per label and the number of relationships.
+
+    The rows are written once, so that the log is parsed once for what a row decides and for the segments.
+    """
+    rows = materialize(rows.select("fold_ts", "arrival", *EDGE_INPUTS), "statistics-rows")
     nodes = [
         F.when(F.expr(key).isNotNull(), F.struct(
             F.lit(label).alias("name"), F.expr(key).alias("a"), F.lit(None).cast("string").alias("b")
