@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.edges import EDGE_INPUTS
 from ..operators.nodes import NODE_FOLDS
 from ..operators.normalize import normalize_requests
-from ..session import materialize, scratch_path
+from ..session import dealt, materialize, scratch_path
 from ..sources import tail
 from ..sources.sinks import read_partitioned, sink_partitioned
 from ..streaming import graph_stream as gs
@@ -32,7 +32,7 @@ def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log_stream(spark: SparkSession, sf_dir: str, name: str = "access_log") -> DataFrame:
-    _events_stream(spark, sf_dir).createOrReplaceTempView("events")
+    dealt(_events_stream(spark, sf_dir)).createOrReplaceTempView("events")
     return spark.sql(inputs.SQL[name])
 
 

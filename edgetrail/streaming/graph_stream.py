@@ -215,12 +215,17 @@ def compact_fold(spark: SparkSession, label: str, path: str, target: str) -> Non
 
 
 def stream_edges(logs: DataFrame, columns: Sequence[str], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Edges of each batch, and what the segment-content edges need to be decided later."""
+    """Edges of each batch, and what the segment-content edges need to be decided later.
+
+    The rows of a batch are written once, so that the log is parsed once, and replaced by those of the next.
+    """
     rows = graph_rows(logs, columns)
 
     def write(df: DataFrame, batch: int) -> None:
-        _write_batch(pair_edges(df), f"{path}/pairs", batch)
-        _write_batch(belongs_partial(df), f"{path}/segments", batch)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
+        kept = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+        _write_batch(pair_edges(kept), f"{path}/pairs", batch)
+        _write_batch(belongs_partial(kept), f"{path}/segments", batch)
 
     return _start(rows, write, checkpoint, every)
 
