@@ -112,12 +112,6 @@ def belongs_to(rows: DataFrame) -> DataFrame:
     return belongs_result(belongs_partial(rows))
 
 
-def _edge_struct(src_type: str, src: str, type_: str, dst_type: str, dst: str) -> Column:
-    both = F.expr(f"({src}) IS NOT NULL AND ({dst}) IS NOT NULL")
-    values = [F.lit(src_type), F.expr(src), F.lit(type_), F.lit(dst_type), F.expr(dst)]
-    return F.when(both, F.struct(*[v.alias(n) for v, n in zip(values, EDGE_COLUMNS, strict=True)]))
-
-
 def _exploded(rows: DataFrame, structs: list[Column]) -> DataFrame:
     # Not F.filter: Spark would infer a filter from it that repeats all the expressions below.
     items = rows.select(F.inline(F.array(*structs)))
@@ -125,8 +119,19 @@ def _exploded(rows: DataFrame, structs: list[Column]) -> DataFrame:
 
 
 def pair_edges(rows: DataFrame) -> DataFrame:
-    """Every relationship that one row alone decides, from one pass over the rows."""
-    return _exploded(rows, [_edge_struct(s, sk, t, d, dk) for t, s, sk, d, dk in RELATIONSHIPS])
+    """Every relationship that one row alone decides, from one pass over the rows.
+
+    Pairs travel with the place of their relationship in RELATIONSHIPS, which has no pair of names twice.
+    """
+    ends = []
+    for place, (_, _, src, _, dst) in enumerate(RELATIONSHIPS):
+        both = F.expr(f"({src}) IS NOT NULL AND ({dst}) IS NOT NULL")
+        ends.append(F.when(both, F.struct(F.lit(place).alias("place"), F.expr(src).alias("src"), F.expr(dst).alias("dst"))))
+    named = {
+        column: F.element_at(F.array(*[F.lit(r[at]) for r in RELATIONSHIPS]), F.col("place") + 1).alias(column)
+        for column, at in (("src_type", 1), ("type", 0), ("dst_type", 3))
+    }
+    return _exploded(rows, ends).select(*[named.get(column, column) for column in EDGE_COLUMNS])
 
 
 def belongs_edges(pairs: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ class Fold:
     first_order_of: dict[str, str] = field(default_factory=dict)
     finish: dict[str, str] = field(default_factory=dict)
 
+    def key_of(self) -> Column:
+        """The key of a row, NULL for a row that the fold leaves out."""
+        key = F.expr(self.source or self.key)
+        return F.when(F.expr(self.where), key) if self.where else key
+
     def partial(self, rows: DataFrame, *also: Column) -> DataFrame:
         """One mergeable record per key of these rows; ``also`` are further grouping columns."""
         if self.where:
@@ -59,6 +64,23 @@ class Fold:
         aggs += [F.max(F.expr(e)).alias(f"_max_{n}") for n, e in self.maxes.items()]
         return rows.groupBy(self.key, *also).agg(*aggs)
 
+    def single(self, rows: DataFrame) -> DataFrame:
+        """A mergeable record of each row, as ``partial`` gives it for a row alone: no shuffle."""
+        types = {f.name: f.dataType for f in self.partial(rows).schema}
+        if self.where:
+            rows = rows.where(self.where)
+        rows = rows.withColumn(self.key, F.expr(self.source or self.key)).withColumn("_seq", _seq())
+        made = {}
+        for name, kept in (("_first", self.first), ("_last", self.last)):
+            if kept:
+                made[name] = F.struct("_seq", *[F.expr(e).alias(n) for n, e in kept.items()])
+        for name, (value, condition) in self.last_known.items():
+            made[f"_known_{name}"] = F.when(F.expr(condition), F.struct("_seq", F.expr(value).alias("v")))
+        made |= {f"_order_{n}": F.when(F.expr(e), F.col("_seq")) for n, e in self.first_order_of.items()}
+        made |= {f"_sum_{n}": F.expr(e) for n, e in self.sums.items()}
+        made |= {f"_max_{n}": F.expr(e) for n, e in self.maxes.items()}
+        return rows.select(self.key, *[made[n].cast(t).alias(n) for n, t in types.items() if n != self.key])
+
     def merge(self, partials: DataFrame) -> DataFrame:
         """Combine partial records of several inputs."""
         aggs = []

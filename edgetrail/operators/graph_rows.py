@@ -147,8 +147,11 @@ def graph_rows(logs: DataFrame, columns: Iterable[str] | None = None, raw: str =
     return rows_of_requests(normalize_requests(logs, request_columns(wanted), raw), rest, wanted)
 
 
-def rows_of_requests(requests: DataFrame, rest: list[str], columns: Iterable[str] | None = None) -> DataFrame:
-    """Graph rows from requests that are normalized already; ``rest`` are columns to keep."""
+def rows_of_requests(requests: DataFrame, rest: list[str], columns: Iterable[str] | None = None, also: Column | None = None) -> DataFrame:
+    """Graph rows from requests that are normalized already; ``rest`` are columns to keep.
+
+    Rows for which ``also``, a condition on ``rest``, holds stay whether they are eligible or not.
+    """
     wanted = list(columns) if columns is not None else ALL_COLUMNS
     needed = _closure([*wanted, "status", "request_kind"])
     rows = requests.select(*rest, "fold_ts", *[c(n).alias(f"n_{n}") for n in request_columns(wanted)])
@@ -156,10 +159,11 @@ def rows_of_requests(requests: DataFrame, rest: list[str], columns: Iterable[str
     for level in range(1, max(_level(n) for n in derived) + 1):
         rows = rows.withColumns({n: DERIVED[n][1]() for n in derived if _level(n) == level})
         if level == _level("request_kind"):
-            rows = graph_eligible(rows)
+            rows = graph_eligible(rows, also)
     return rows.select(*rest, "fold_ts", *wanted)
 
 
-def graph_eligible(rows: DataFrame) -> DataFrame:
-    """Status 200-399 and a known kind."""
-    return rows.where(c("status").between(200, 399) & c("request_kind").isNotNull())
+def graph_eligible(rows: DataFrame, also: Column | None = None) -> DataFrame:
+    """Status 200-399 and a known kind, or ``also``."""
+    eligible = c("status").between(200, 399) & c("request_kind").isNotNull()
+    return rows.where(eligible if also is None else eligible | also)

@@ -39,8 +39,10 @@ def access_log_stream(spark: SparkSession, sf_dir: str, name: str = "access_log"
 def _in_batches(spark: SparkSession, sf_dir: str, name: str, path: str) -> DataFrame:
     """A derived log, written as files of which a stream reads a quarter per batch."""
     cores = spark.sparkContext.defaultParallelism
-    logs = inputs.load(spark, sf_dir, name)
-    logs.repartition(4 * cores).write.parquet(f"{path}/input")
+    logs = inputs.load(spark, sf_dir, name, 4 * cores)
+    if name == "delivered_log":  # not a partition for each one of the events
+        logs = logs.repartition(4 * cores)
+    logs.write.option("compression", "zstd").parquet(f"{path}/input")
     return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", cores).parquet(f"{path}/input")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,11 +98,14 @@ class BatchStore:
 
     # --- writing ---------------------------------------------------------------------------
 
-    def commit(self, batch: int, tables: dict[str, DataFrame], merges: dict[str, Merge] | None = None) -> bool:
+    def commit(
+        self, batch: int, tables: dict[str, DataFrame], merges: dict[str, Merge] | None = None, staged: Collection[str] = ()
+    ) -> bool:
         """Add one batch to the tables, all or none; False if it is there already.
 
         ``merges`` names the function that combines records of several batches; without one they
-        are kept side by side.
+        are kept side by side.  The new records of ``staged`` tables are written before they meet older ones, for
+        merges that read their input twice.
         """
         old = self.snapshot()
         if old is not None and old["batch"] >= batch:
@@ -117,11 +120,16 @@ class BatchStore:
                 if n != size:
                     break
                 taken, size = taken + 1, size + n
+            if taken and table in staged:
+                # No snapshot lists this folder, so it is removed with the others.
+                path = f"{self.path}/{table}/{batch:012d}-{uuid.uuid4().hex[:8]}"
+                new.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+                new = self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(path)
             if taken:
                 new = self._open(table, entry, taken).unionByName(new)
                 new = merges[table](new) if merges and table in merges else new
             folder = f"{batch:012d}-{uuid.uuid4().hex[:8]}"
-            new.write.mode("errorifexists").parquet(f"{self.path}/{table}/{folder}")
+            new.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.path}/{table}/{folder}")
             kept = entry["folders"][: len(entry["folders"]) - taken]
             return table, {"folders": [*kept, [size, folder]], "schema": entry["schema"]}
 

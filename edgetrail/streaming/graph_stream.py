@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.edges import belongs_edges, belongs_merge, belongs_partial, belongs_result, pair_edges
+from ..operators.edges import EDGE_COLUMNS, belongs_edges, belongs_merge, belongs_partial, belongs_result, pair_edges
 from ..operators.folds import Fold
 from ..operators.graph_rows import graph_rows, request_columns, rows_of_requests
+from ..operators.joins import BROADCAST_ROWS
 from ..operators.nodes import NODE_FOLDS, NODE_INPUTS
 from ..operators.normalize import classify_records, normalize_requests, quarantine
 from ..sources.sinks import sink_partitioned
@@ -73,12 +74,31 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     return read_batches(spark, f"{path}/quarantine")
 
 
+# Records are combined if at most this share of them is left.
+FEWER = 0.75
+
+
+def _fewer(rows: DataFrame, keys: dict[str, Column]) -> set[str]:
+    """Which of these keys have clearly fewer values than the rows that have them, by one estimate over all rows."""
+    counts = [F.struct(F.count(k).alias("rows"), F.approx_count_distinct(k).alias("values")).alias(n) for n, k in keys.items()]
+    found = rows.agg(*counts).first()
+    return {n for n in keys if found[n]["values"] <= FEWER * found[n]["rows"]}
+
+
+def _where_fewer(key: Column, merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """``merge`` for records whose keys repeat; others stay side by side, as readers merge anyway."""
+    return lambda records: merge(records) if _fewer(records, {"key": key}) else records
+
+
 def stream_graph(logs: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """All node tables, the edges and the quarantine of a stream, from one parse per batch.
 
-    The records and the graph rows of a batch are written once, read by every fold, and replaced by
-    those of the next.  All tables are committed together as one snapshot of a batch store, which also merges older
-    batches as it goes; ``read_fold``, ``read_edges`` and ``read_quarantine`` read the newest one.
+    The graph rows of a batch, and the texts of the records that give none, are written once, read by every fold, and
+    replaced by those of the next.  All tables are committed together as one snapshot of a batch store, which also merges
+    older batches as it goes; ``read_fold``, ``read_edges`` and ``read_quarantine`` read the newest one and merge what is left.
+
+    Records are only shuffled to be combined where that leaves clearly fewer (``_fewer``): a request's node
+    is that of one row, so it is stored as it is and meets its repeats when the table is read.
     """
 
     def write(df: DataFrame, batch: int) -> None:
@@ -86,15 +106,18 @@ def stream_graph(logs: DataFrame, path: str, checkpoint: str, every: str | None
         store = BatchStore(spark, path)
         if store.has(batch):
             return
-        classify_records(df, request_columns()).write.mode("overwrite").parquet(f"{path}/records")
-        records = spark.read.parquet(f"{path}/records")
-        rows_of_requests(records.where("reason IS NULL"), ["arrival"]).write.mode("overwrite").parquet(f"{path}/rows")
-        rows = spark.read.parquet(f"{path}/rows")
-        tables = {f"nodes/{label}": fold.partial(rows) for label, fold in NODE_FOLDS.items()}
-        merges = {f"nodes/{label}": fold.merge for label, fold in NODE_FOLDS.items()}
+        broken = F.col("reason").isNotNull()
+        records = classify_records(df, request_columns()).withColumn("raw", F.when(broken, F.col("raw")))
+        found = rows_of_requests(records, ["arrival", "raw", "reason"], also=broken)
+        found.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
+        found = spark.read.parquet(f"{path}/rows")
+        rows = found.where(~broken).drop("raw", "reason")
+        fewer = _fewer(rows, {label: fold.key_of() for label, fold in NODE_FOLDS.items()})
+        tables = {f"nodes/{label}": (fold.partial if label in fewer else fold.single)(rows) for label, fold in NODE_FOLDS.items()}
+        merges = {f"nodes/{label}": _where_fewer(F.col(fold.key), fold.merge) for label, fold in NODE_FOLDS.items()}
         tables |= {"edges/pairs": pair_edges(rows), "edges/segments": belongs_partial(rows)}
-        merges |= {"edges/pairs": DataFrame.distinct, "edges/segments": belongs_merge}
-        store.commit(batch, tables | {"quarantine": records.where("reason IS NOT NULL").select("raw", "reason")}, merges)
+        merges |= {"edges/pairs": _where_fewer(F.xxhash64(*EDGE_COLUMNS), DataFrame.distinct), "edges/segments": belongs_merge}
+        store.commit(batch, tables | {"quarantine": found.where(broken).select("raw", "reason")}, merges, ["edges/pairs"])
 
     return _start(logs, write, checkpoint, every)
 
@@ -202,7 +225,21 @@ def read_fold(spark: SparkSession, label: str, path: str) -> DataFrame:
     """Finished records of a streamed node table: the batches' partial records merged."""
     fold: Fold = NODE_FOLDS[label]
     partials = read_batches(spark, path).drop("batch_id")
-    return fold.result(fold.merge(partials)).drop("_username", "_user_id")
+    return fold.result(_merged(fold, partials)).drop("_username", "_user_id")
+
+
+def _merged(fold: Fold, partials: DataFrame) -> DataFrame:
+    """``fold.merge``; where few keys come several times, only their records are shuffled, and of the others the keys."""
+    if _fewer(partials, {"key": F.col(fold.key)}):
+        return fold.merge(partials)
+    often = F.col("_often")
+    repeated = partials.groupBy(F.col(fold.key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = repeated.select("_key", F.lit(True).alias("_often"))
+    if repeated.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return fold.merge(partials)
+    marked = partials.join(F.broadcast(repeated), F.col(fold.key).eqNullSafe(F.col("_key")), "left")
+    alone, again = marked.where(often.isNull()), marked.where(often)
+    return alone.select(partials.columns).unionByName(fold.merge(again.select(partials.columns)))
 
 
 def compact_fold(spark: SparkSession, label: str, path: str, target: str) -> None:
