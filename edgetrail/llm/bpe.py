@@ -1,6 +1,6 @@
-"""Byte-level BPE inside tasks: cached ids from the tokenizers library, and a heap-based token counter.
+"""Byte-level BPE inside tasks: ids of many texts, each distinct word encoded once, and a heap-based token counter.
 
-Text is cut before each single space, where the pre-tokenizer always cuts too, and the pieces are looked up in a
+Text is cut before each single space, where the pre-tokenizer always cuts too; the counter looks its pieces up in a
 per-process cache. A text in which a space touches other white space in a way that could change the cut (a part is
 empty or begins with white space), or that holds a special string, is handled whole.
 """
@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import os
 import re
-from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,13 +47,9 @@ def special_pattern(spec: dict) -> re.Pattern | None:
     return re.compile("|".join(map(re.escape, found))) if found else None
 
 
-class Uncuttable(Exception):
-    """A text must be handled whole."""
-
-
 class Encoder:
-    """Ids as the tokenizers library gives them, as little-endian unsigned 32-bit bytes. Pieces that are not cached
-    go through tiktoken with the same vocabulary, which gives the same ids for plain text."""
+    """Ids as the tokenizers library gives them. Words of texts that can be cut go through tiktoken with the same
+    vocabulary, which gives the same ids for plain text, each distinct word of many texts once and all in one call."""
 
     def __init__(self, text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,62 +58,61 @@ class Encoder:
 
         spec = json.loads(text)
         self.tokenizer = Tokenizer.from_str(text)
-        self.special = special_pattern(spec)
-        self.spaced_special = any(" " in t["content"] for t in spec.get("added_tokens", []))
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         byte = {letter: b for b, letter in enumerate(byte_letters())}
-        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in spec["model"]["vocab"].items()}
-        self.piece = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.stops = {c: self.plain(c) for c in ",."}
-        self.line_end = self.plain("\n")
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def plain(self, text: str) -> bytes:
-        return array("I", self.piece(text)).tobytes()
-
-    def part(self, part: str) -> bytes:
-        """The ids of a space and a part. Letters before a comma or stop, and lines, are looked up on their own."""
-        cache = self.cache
-        if part.isalpha():
-            return self.plain(" " + part)
-        if not part or part[0].isspace() or self.special and self.special.search(part):
-            raise Uncuttable
-        if part[-1:] in self.stops and part[:-1].isalpha():
-            word = part[:-1]
-            if word not in cache:
-                cache[word] = self.plain(" " + word)
-            return cache[word] + self.stops[part[-1]]
-        lines = part.split("\n")
-        if len(lines) > 1 and len(part.split()) == len(lines):
-            first, *rest = lines
-            if first not in cache:
-                cache[first] = self.part(first)
-            return self.line_end.join([cache[first], *map(self.plain, rest)])
-        return self.plain(" " + part)
+        vocab = spec["model"]["vocab"]
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocab.items()}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.coding = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.bytes = np.zeros(1 + max(vocab.values(), default=0), np.int64)  # of each id
+        self.bytes[list(vocab.values())] = list(map(len, vocab))
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def plain(self, text: str) -> np.ndarray:
+        """Special strings are plain text here."""
+        return self.coding.encode_to_numpy(text, disallowed_special=())
+
+    def words(self, words: list[str], size: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each word that is not apart, one after the other, and how many each word has."""
+        ids = self.plain(" ".join(["", *itertools.compress(words, ~apart)]))
+        ends = np.cumsum(np.where(apart, 0, 1 + size))
+        reached = np.searchsorted(np.cumsum(self.bytes[ids]), ends, "right")
+        return ids, np.diff(reached, prepend=0)
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each text end. A null text has none."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        coded = pc.dictionary_encode(cut.flatten())
+        word, firsts = coded.indices.to_numpy().copy(), cut.offsets.to_numpy()[:-1]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        apart = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        ids, n = self.words(words, pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False), apart)
+        # A text is handled whole where a word after its first is apart, or where it holds a special string.
+        after = apart[word]
+        after[firsts] = False
+        uncut = np.logical_or.reduceat(after, firsts)
+        for s in self.special:
+            uncut |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        own = [self.whole(texts[i].as_py()) if uncut[i] else self.plain(words[word[at]]) for i, at in enumerate(firsts.tolist())]
+        word[firsts] = len(n) + np.arange(len(texts))
+        n = np.append(n, list(map(len, own)))
+        start, ids = np.cumsum(n) - n, np.concatenate([ids, *own])
+        times = n[word]
+        if uncut.any():
+            rest = np.repeat(uncut, np.diff(np.append(firsts, len(word))))
+            rest[firsts] = False
+            times[rest] = 0
+        to = np.cumsum(times)
+        return ids[np.repeat(start[word] - to + times, times) + np.arange(to[-1])], to[np.append(firsts[1:], len(word)) - 1]
 
     def ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        cache = self.cache
-        if self.special and (self.spaced_special or self.special.search(first)) and self.special.search(text):
-            return self.whole(text)
-        try:
-            return self.plain(first) + b"".join(map(cache.__getitem__, rest))
-        except KeyError:
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            new = set(rest).difference(cache)
-            try:
-                for p in new:
-                    cache[p] = self.part(p)
-            except Uncuttable:
-                return self.whole(text)
-            found = b"".join(map(cache.__getitem__, rest))
-            for p in new:
-                if "\n" in p or len(p) > CACHED_CHARS:  # these hardly come again
-                    del cache[p]
-            return self.plain(first) + found
+        """Little-endian unsigned 32-bit ids of one text."""
+        return self.many(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
 
 class Counter:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from edgetrail.llm.bpe import Encoder, once, tokenizer_text
 from edgetrail.llm.common import batches, rows_of, written
 
+TEXT_BYTES = 8 << 20  # of texts whose words are encoded together, each once
 SHARD_TAILS = 1024
 COMPACT = 0.75  # postings of used tails are dropped when this share of those held is left
 K1, B = 1.2, 0.75
@@ -69,22 +71,42 @@ def _tokenize(vocabulary, window: int):
     def tokenize(parts):
         encoder = once(Encoder, vocabulary.value)
         shuffled = np.random.default_rng(7).permutation(1 << 20).astype(np.int64)
-        end = np.asarray([END_ID], "<u4").tobytes()
 
         def rows():
-            for doc_id, part, text in rows_of(parts, "doc_id", "part", "text"):
-                ids = (encoder.ids(text) if text else b"") + end
-                n = len(ids) // 4
-                cut = (n - n % window) * 4
-                terms, times = np.unique(np.frombuffer(ids, "<u4"), return_counts=True)
-                sketch = int(shuffled[terms & 0xFFFFF].min())
-                yield doc_id, part, n, ids[:cut], ids[cut:], terms.tobytes(), times.astype("<u4").tobytes(), sketch
+            for batch in _texts(_with_part(parts)):
+                found, ends = encoder.many(batch.column("text"))
+                found = np.insert(found, ends, END_ID).astype("<u4", copy=False)
+                ends, at = ends + np.arange(1, len(ends) + 1), 0
+                for doc_id, part, end in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), ends.tolist(), strict=True):
+                    ids, at = found[at:end], end
+                    cut = len(ids) - len(ids) % window
+                    terms, times = np.unique(ids, return_counts=True)
+                    sketch = int(shuffled[terms & 0xFFFFF].min())
+                    yield doc_id, part, len(ids), ids[:cut].tobytes(), ids[cut:].tobytes(), terms.tobytes(), times.astype("<u4").tobytes(), sketch
 
         yield from batches(rows(), _TOKENS, 256)
 
     return tokenize
 
 
+def _with_part(parts):
+    """The batches; part is null where they have none."""
+    for batch in parts:
+        yield batch if "part" in batch.schema.names else batch.append_column("part", pa.nulls(batch.num_rows, pa.string()))
+
+
+def _texts(parts):
+    """The rows in batches of about TEXT_BYTES of text, in their order; a longer text is alone."""
+    for batch in parts:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            most = TEXT_BYTES + (int(size[at - 1]) if at else 0)
+            to = max(at + 1, int(np.searchsorted(size, most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _frequencies(parts):
     """Per task: how many documents hold each id; under -1 the number of documents, under -2 that of their ids."""
     seen, n, length = np.zeros(0, np.int64), 0, 0
@@ -146,7 +168,7 @@ def _packer(index, window: int):
         def rows():
             held: list[tuple] = []
             now = None
-            for doc_id, part, n, tail, terms, times in rows_of(parts, "doc_id", "part", "n", "tail", "terms", "times"):
+            for doc_id, part, n, tail, terms, times in rows_of(_with_part(parts), "doc_id", "part", "n", "tail", "terms", "times"):
                 if part != now:
                     yield from shard(held)
                     yield from ended()

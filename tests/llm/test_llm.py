@@ -69,6 +69,30 @@ def test_encoder_and_counter_equal_the_library(library):
         assert counter.count(t) == len(want), repr(t)
 
 
+def test_encoder_encodes_the_words_of_many_texts_once(library, monkeypatch):
+    encoder = Encoder(tokenizer_text(PATH))
+    rnd = random.Random(5)
+    pieces = ["word", " ", "  ", "\n", "\t", ".", "'s", "é", "<|endoftext|>", " a", " \n", "\x85", "\u3000"]
+    for size in (0, 1, 2, 30):
+        for _ in range(40):
+            texts = [rnd.choice([None, "", "same words", "".join(rnd.choices(pieces, k=rnd.randint(1, 9)))]) for _ in range(size)]
+            ids, ends = encoder.many(pa.array(["cut off", *texts], pa.string())[1:])
+            assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [ids_of(library, t) for t in texts]
+    given = []
+    monkeypatch.setattr(encoder, "plain", lambda text, plain=encoder.plain: given.append(text) or plain(text))
+    encoder.many(pa.array(["one two three two", "two three two", "three two"], pa.string()))
+    joined, *firsts = given
+    assert sorted(joined.split()) == ["one", "three", "two"] and firsts == ["one", "two", "three"]
+
+
+def test_packing_takes_texts_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "TEXT_BYTES", 10)
+    texts = ["aaaa", None, "é" * 3, "b", "c" * 50, "", "dddd", "e" * 6, "f"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["x", *texts], pa.string())}).slice(1)
+    got = [b.column("text").to_pylist() for b in packing._texts([batch, batch.slice(0, 0)])]
+    assert got == [["aaaa", None, "é" * 3], ["b"], ["c" * 50], ["", "dddd", "e" * 6], ["f"]]
+
+
 def test_token_counts(spark, docs, empty, library):
     got = token_counts.token_counts(docs, PATH).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((r.doc_id or -1, len(ids_of(library, r.text))) for r in docs.collect())
