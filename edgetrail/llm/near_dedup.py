@@ -4,15 +4,17 @@ A document's shingles are hashed once and dealt into BANDS * ROWS bins; the leas
 empty bins borrow from a bin that an own hash sequence finds (optimal densification). Documents with equal sets form
 one class. Classes that agree on all values of a band share a bucket, and each bucket only links its members to one
 center, so pairs stay in proportion to members. Centers are the members that share most buckets. Links are confirmed
-on full sets. What a star can miss - two members that are alike but not both like the center - is searched for only
-among members of a bucket that are still in different components, each pair once for the bucket's main component. Inside
-that join a sketch estimates the similarity: 1024 bins of the same hashes, with a bit for "occupied" and one of the
-value; pairs that lie more than five deviations below the threshold are not put out.
+on full sets; pairs that a sketch puts more than five deviations below the threshold are not sent there. The sketch has
+1024 bins of the same hashes, with a bit for "occupied" and one of the value. What a star can miss - two members that are
+alike but not both like the center - is searched for only among members of a bucket that are still in different
+components, once for the bucket's main component. Its members are dealt into blocks of bounded size, and a task counts
+at once what all pairs of two blocks share: frequent shingles by a product of matrices, rare ones by their lists.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,13 @@ BINS = BANDS * ROWS
 SKETCH_BINS = 1024
 SKETCH_LONGS = SKETCH_BINS // 64
 _PROBES = 4096
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 19
+FREQUENT = 256  # a shingle is frequent if more than one of so many pairs shares it
+COLUMNS, CELLS = 1024, 1 << 22
 _SIGNATURES = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("mark", pa.int64())]
 )
+_PARTS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _probes: list[np.ndarray] = []
 
 
@@ -126,14 +132,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, mark: Col
     sizes = parts.groupBy("key", "part").agg(F.count("*").alias("members"))
     open_keys = sizes.groupBy("key").agg(F.max_by("part", F.struct("members", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     left = parts.join(open_keys, "key").select("main", "part", "cls").distinct()
-    left = written(left.join(looks, "cls"), "open-buckets")
-    names = ("part", "cls", *_LOOKS)
-    mine = left.where("part <> main").select(F.col("main").alias("a_main"), *(F.col(c).alias(f"a_{c}") for c in names))
-    other = left.select(F.col("main").alias("b_main"), *(F.col(c).alias(f"b_{c}") for c in names))
-    once = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("b_main")) | (F.col("a_cls") < F.col("b_cls")))
-    crossing = mine.join(other, (F.col("a_main") == F.col("b_main")) & once & _alike(percent))
-    crossing = crossing.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), "a_least", "b_least").distinct()
-    more = written(_confirmed(rows, crossing, size, percent), "more-links")
+    left = written(left.join(classes.select("cls", "n", "least"), "cls"), "open-buckets")
+    more = written(_crossing(rows, left, size, percent), "more-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
@@ -173,10 +173,8 @@ def _alike(percent: int):
     return sizes & (both - 2 * odd + 5 * deviation + 2 >= share * either)
 
 
-def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets, made anew from the texts, overlap enough."""
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("cls"), F.col("a_least").alias("least")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("b_least").alias("least"))).distinct()
+def _sets(rows: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """cls and items, the full set made anew from a text, of each class in ends."""
     schema = pa.schema([("cls", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def sets(parts):
@@ -184,8 +182,16 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
 
     # A repeated doc_id with several texts has several sets; all of them are compared and the best counts. Equal rows
     # are one here, by the partitioning of the join.
+    ends = ends.select("cls", "least").distinct()
     texts = rows.where("text IS NOT NULL").join(ends, rows.doc_id == ends.least).select("least", "cls", "text").distinct()
-    items = written(texts.select("cls", "text").mapInArrow(tidied(sets), "cls long, items array<long>"), "sets")
+    return written(texts.select("cls", "text").mapInArrow(tidied(sets), "cls long, items array<long>"), "sets")
+
+
+def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets, made anew from the texts, overlap enough."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("cls"), F.col("a_least").alias("least")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("b_least").alias("least")))
+    items = _sets(rows, ends, size)
     both = (
         pairs.select("a", "b")
         .join(items.select(F.col("cls").alias("b"), F.col("items").alias("b_items")), "b")
@@ -196,6 +202,112 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     return both.where(enough).select("a", "b").distinct()
 
 
+def _crossing(rows: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of parts of which two members, met in one main component, overlap enough on full sets.
+
+    Members of the main part and members apart from it have blocks of their own: no pair of the main part is compared.
+    """
+    apart = F.col("part") != F.col("main")
+
+    def blocks(of: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.count_if(of) / BLOCK_SETS), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES))
+
+    # Few components need more than two blocks: at most one for each BLOCK_SETS members or BLOCK_SHINGLES shingles.
+    cut = left.groupBy("main").agg(blocks(apart).alias("outer"), blocks(~apart).alias("inner")).where("outer + inner > 2")
+    placed = left.join(F.broadcast(cut), "main", "left").withColumns({k: F.coalesce(k, F.lit(1)) for k in ("outer", "inner")})
+    spread = F.xxhash64("cls")
+    block = F.when(apart, F.pmod(spread, F.col("outer"))).otherwise(F.col("outer") + F.pmod(spread, F.col("inner")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("outer") - 1 + F.when(apart, F.col("inner")).otherwise(F.lit(0)))
+    dealt = placed.select("main", "part", "cls", block.alias("block"), F.explode(others).alias("other"))
+    dealt = dealt.select("main", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "part", "cls")
+    met = dealt.join(_sets(rows, left, size), "cls").select("main", "low", "high", "block", "part", "items")
+    met = met.repartition("main", "low", "high").sortWithinPartitions("main", "low", "high")
+
+    def compare(parts):
+        yield from batches((pair for group in _groups(parts) for pair in _linked_parts(group, percent)), _PARTS)
+
+    return met.mapInArrow(tidied(compare), "a long, b long").distinct()
+
+
+def _groups(parts):
+    """The rows of each two blocks that meet, as one table, from sorted batches."""
+    held, last = [], None
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(name).to_numpy() for name in ("main", "low", "high")])
+        for at, end in pairwise([0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]):
+            key = tuple(keys[:, at].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked_parts(group: pa.Table, percent: int):
+    """The pairs of different parts, each once, that a pair of sets of the two blocks links."""
+    low, high, block, part = (group.column(name).to_numpy() for name in ("low", "high", "block", "part"))
+    items = group.column("items").combine_chunks()
+    n = items.value_lengths().to_numpy().astype(np.int64)
+    _, codes = np.unique(items.flatten().to_numpy(), return_inverse=True)
+    ends = np.cumsum(n)
+
+    def of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each item of these rows, which of the rows has it, and its code."""
+        at = np.repeat(ends[rows] - np.cumsum(n[rows]), n[rows]) + np.arange(n[rows].sum())
+        return np.repeat(np.arange(len(rows)), n[rows]), codes[at]
+
+    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    if not (len(a) and len(b)):
+        return
+    others, found = of(b), set()
+    for rows in np.array_split(a, -(-len(a) * len(b) // CELLS)):
+        common = _common(of(rows), others, (len(rows), len(b)))
+        i, j = np.nonzero((common * (100 + percent) >= (n[rows][:, None] + n[b]) * percent) & (part[rows][:, None] != part[b]))
+        x, y = part[rows[i]], part[b[j]]
+        found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
+    yield from found
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """How many items each pair of a row of a and a row of b shares, from the rows and codes of their items."""
+    codes = 1 + max(a[1].max(initial=-1), b[1].max(initial=-1))
+    in_b = np.bincount(b[1], minlength=codes)
+    sharing = np.bincount(a[1], minlength=codes) * in_b  # pairs
+    common = np.zeros(shape, np.int64)
+    frequent = sharing * FREQUENT > shape[0] * shape[1]
+    column, total = np.cumsum(frequent) - 1, int(frequent.sum())
+
+    def matrices(side: tuple[np.ndarray, np.ndarray], height: int):
+        """0 and 1 by row and frequent item, COLUMNS items at a time."""
+        rows, at = (x[frequent[side[1]]] for x in (side[0], column[side[1]]))
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        for first in range(0, total, COLUMNS):
+            here = slice(*np.searchsorted(at, [first, first + COLUMNS]))
+            out = np.zeros((height, min(COLUMNS, total - first)), np.float32)
+            out[rows[here], at[here] - first] = 1
+            yield out
+
+    for x, y in zip(matrices(a, shape[0]), matrices(b, shape[1]), strict=True):
+        common += (x @ y.T).astype(np.int64)
+    rare = (sharing > 0) & ~frequent
+    rows, held = (x[rare[a[1]]] for x in a)
+    order = np.argsort(b[1], kind="stable")
+    mates, start = b[0][order], np.searchsorted(b[1][order], held)
+    ends = np.cumsum(in_b[held])
+    cuts = np.searchsorted(ends, np.arange(CELLS, ends[-1] if len(ends) else 0, CELLS))
+    for at, end in pairwise(sorted({0, *cuts.tolist(), len(held)})):
+        times = in_b[held[at:end]]
+        before = ends[at:end] - times
+        mate = mates[np.repeat(start[at:end] - before, times) + np.arange(before[0], ends[end - 1])]
+        common += np.bincount(np.repeat(rows[at:end], times) * shape[1] + mate, minlength=common.size).reshape(shape)
+    return common
+
+
 def components(edges: DataFrame) -> DataFrame:
     """cls and root, the least member reachable, for every end of an edge: large-star and small-star rounds."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")

@@ -224,6 +224,44 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_hot_family_write_no_pairs_of_members(spark, monkeypatch):
+    rnd, tables, written = random.Random(7), {}, near_dedup.written
+    base = [f"b{i}" for i in range(200)]
+
+    def member():  # any two share 173 of 197 shingles each: a similarity of 0.78
+        return [f"x{rnd.getrandbits(60)}" if i % 32 == 16 else w for i, w in enumerate(base)]
+
+    members = [member() for _ in range(300)]
+    twins = [[*m[:-1], "other"] for m in members[::30]]  # alike, but not like the center of their buckets
+    texts = dict(enumerate(" ".join(w) for w in members + twins))
+
+    def counted(df, name):
+        df = written(df, name)
+        tables[name] = max(tables.get(name, 0), df.count())
+        return df
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 50)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == links(texts)
+    assert sum(not r.kept for r in got) == len(twins)
+    assert max(tables.values()) <= near_dedup.BANDS * len(texts)
+
+
+def test_near_duplicates_count_what_sets_share(monkeypatch):
+    rnd = np.random.default_rng(8)
+
+    def rows(sets):
+        return np.repeat(np.arange(len(sets)), list(map(len, sets))), np.concatenate(sets)
+
+    for _ in range(200):
+        for name, some in (("FREQUENT", [1, 4, 256, 10**9]), ("COLUMNS", [1, 3, 1024]), ("CELLS", [1, 7, 1 << 22])):
+            monkeypatch.setattr(near_dedup, name, int(rnd.choice(some)))
+        a, b = ([np.flatnonzero(rnd.random(60) < rnd.random()) for _ in range(rnd.integers(1, 12))] for _ in range(2))
+        got = near_dedup._common(rows(a), rows(b), (len(a), len(b)))
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
 def test_decontamination(spark, docs, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(1, "x " * 500 + item.upper().replace(" ", ", ") + " y" * 500), (2, "alpha beta gamma delta epsilon zeta"), (3, None), (4, "tiny words"), (None, item)]
